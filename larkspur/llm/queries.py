@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from larkspur.llm import lines
 from larkspur.llm.mixing import mix_sources
+from larkspur.llm.packing import pack_documents
 from larkspur.llm.simhash import near_duplicates
 
 
@@ -16,10 +19,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {"op5_simhash": op5_simhash, "op10_mixing": op10_mixing}
+QUERIES = {"op5_simhash": op5_simhash, "op7_lines": op7_lines, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_lines": lines.ORACLE}
