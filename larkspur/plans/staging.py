@@ -7,6 +7,7 @@ the loss of any executor, and gives the planner exact sizes.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,12 @@ def drop_staged(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner acts when the driver's garbage is collected, which a driver with
+    little to do puts off while the disks fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
