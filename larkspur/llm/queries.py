@@ -9,6 +9,7 @@ from larkspur.llm import lines
 from larkspur.llm.mixing import mix_sources
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.simhash import near_duplicates
+from larkspur.llm.substrings import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {"op5_simhash": op5_simhash, "op7_lines": op7_lines, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op5_simhash": op5_simhash, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 
 ORACLE_SQL = {"op7_lines": lines.ORACLE}
