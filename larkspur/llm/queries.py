@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import lines
 from larkspur.llm.language import identify
+from larkspur.llm.media import store_payloads
 from larkspur.llm.mixing import mix_sources
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.simhash import near_duplicates
@@ -21,6 +22,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_payloads(_table(spark, sf_dir, "documents"), with_media=False)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -41,6 +46,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {"op1_language": op1_language, "op5_simhash": op5_simhash, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op1_language": op1_language, "op2_media": op2_media, "op5_simhash": op5_simhash, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 
 ORACLE_SQL = {"op7_lines": lines.ORACLE}
