@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import lines
+from larkspur.llm import lines, topk
 from larkspur.llm.language import identify
 from larkspur.llm.media import store_payloads
 from larkspur.llm.mixing import mix_sources
@@ -26,6 +26,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_payloads(_table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -46,6 +50,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {"op1_language": op1_language, "op2_media": op2_media, "op5_simhash": op5_simhash, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op1_language": op1_language, "op2_media": op2_media, "op4_topk": op4_topk, "op5_simhash": op5_simhash, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 
-ORACLE_SQL = {"op7_lines": lines.ORACLE}
+ORACLE_SQL = {"op4_topk": topk.ORACLE, "op7_lines": lines.ORACLE}
