@@ -12,6 +12,7 @@ from larkspur.llm.mixing import mix_sources
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.simhash import near_duplicates
 from larkspur.llm.substrings import remove_repeats
+from larkspur.llm.toxicity import judge
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.col("rejected").alias("toxic"), F.col("p_toxic").alias("score"), "p_low_quality", "p_toxic", "p_toxic_low_quality")
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
 
@@ -50,6 +56,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {"op1_language": op1_language, "op2_media": op2_media, "op4_topk": op4_topk, "op5_simhash": op5_simhash, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op1_language": op1_language, "op2_media": op2_media, "op4_topk": op4_topk, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 
 ORACLE_SQL = {"op4_topk": topk.ORACLE, "op7_lines": lines.ORACLE}
