@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import lines, topk
+from larkspur.llm import lines, preferences, topk
 from larkspur.llm.language import identify
 from larkspur.llm.media import store_payloads
 from larkspur.llm.mixing import mix_sources
@@ -27,6 +27,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_payloads(_table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # conversations 2k and 2k + 1 are the chosen and the rejected one of pair k
+    turns = _table(spark, sf_dir, "conversations")
+    return preferences.format_preferences(turns, F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(F.lit(1)) == 0)
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -56,6 +62,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {"op1_language": op1_language, "op2_media": op2_media, "op4_topk": op4_topk, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op1_language": op1_language, "op2_media": op2_media, "op3_preferences": op3_preferences, "op4_topk": op4_topk, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 
-ORACLE_SQL = {"op4_topk": topk.ORACLE, "op7_lines": lines.ORACLE}
+ORACLE_SQL = {"op3_preferences": preferences.ORACLE, "op4_topk": topk.ORACLE, "op7_lines": lines.ORACLE}
