@@ -120,6 +120,25 @@ def _choose(share: float, group: pd.DataFrame) -> pd.DataFrame:
     return group.assign(passes=passes, more=more)[["source_key", "size", "bucket", "n", "passes", "more"]].astype({"passes": "int64", "more": "int64"})
 
 
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, source, ...) as often as the mix takes them.
+
+    Rows that share doc_id and source are taken as often as all of them together,
+    spread evenly; texts meet the choice by one shuffle join on the two."""
+    chosen = stage(mix_sources(docs, **how).groupBy("doc_id", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")), "chosen")
+    once = chosen.where("rows = 1").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies")
+    many = chosen.where("rows > 1").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies", "rows")
+    match = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source")
+    taken = rows.join(once, match).select("row", "copies")
+    nth = F.row_number().over(Window.partitionBy("_id", "_source").orderBy(F.xxhash64("row")))
+    # the first rows make one pass more than the others when the passes don't divide
+    shared = rows.join(many, match).withColumn("nth", nth).select("row", (F.floor((F.col("copies") + F.col("rows") - F.col("nth")) / F.col("rows"))).alias("copies"))
+    every = taken.unionByName(shared).where("copies > 0")
+    return every.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*columns)
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (passes the document makes), taken."""
     spark = docs.sparkSession
