@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.tokens import WordIds, default_path
+from larkspur.llm.tokens import default_path, word_ids
 from larkspur.plans.staging import stage
 
 CAPACITY, CLOSING_ID = 4096, 1
@@ -61,12 +61,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
     path = tokenizer_path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(path).ids
+        encoder = word_ids(path)
         closing, width = np.array([CLOSING_ID], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = ids_of(text.as_py() or "") + closing
+            texts = (text.as_py() or "" for text in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids(texts), strict=True):
+                ids += closing
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 
-#: Words kept by a worker; when full it starts anew.
-CACHE_WORDS = 500_000
+#: Words kept by a worker, which starts anew when full; characters whose words are looked up together.
+CACHE_WORDS, BLOCK_CHARS = 900_000, 2_000_000
 #: Texts with these go to the tokenizer whole: its special tokens, and controls that only Python splits at.
 _WHOLE = re.compile("<\\|(?:startoftext|endoftext)\\|>|[\x1c-\x1f]")
 #: Characters whose lower case depends on the place or on normalisation.
@@ -28,35 +30,54 @@ def default_path() -> str:
 
 
 class WordIds:
-    """ids(text): the text's token ids as little-endian unsigned 32-bit bytes."""
+    """ids(texts): each text's token ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, room: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.cache = Tokenizer.from_file(path), room, {}
 
-    def ids(self, text: str) -> bytes:
+    def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
+        held: list[list[str] | bytes] = []
+        size = 0
+        for text in texts:
+            held.append(self._words(text))
+            size += len(text)
+            if size >= BLOCK_CHARS:
+                yield from self._join(held)
+                held, size = [], 0
+        yield from self._join(held)
+
+    def _words(self, text: str) -> list[str] | bytes:
         if _WHOLE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if unicodedata.is_normalized("NFC", text) and not _ODD_CASE.search(text):
             text = text.lower()
-        words, cache = text.split(), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            return self._learn(words)
-
-    def _learn(self, words: list[str]) -> bytes:
-        new = [w for w in dict.fromkeys(words) if w not in self.cache]
+        return text.split()
+
+    def _join(self, held: list[list[str] | bytes]) -> Iterator[bytes]:
+        own = [x for x in held if isinstance(x, list)]
+        new = set().union(*own).difference(self.cache)
         if len(self.cache) + len(new) > self.room:
             self.cache.clear()
-            new = list(dict.fromkeys(words))
+            new = set().union(*own)
+        self._learn(list(new))
+        cache = self.cache
+        for x in held:
+            yield b"".join([cache[w] for w in x]) if isinstance(x, list) else x
+
+    def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
-            word = np.searchsorted(starts, np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0], side="right") - 1
-            ends = np.searchsorted(word, np.arange(len(part)), side="right")
-            ids = np.array(found.ids, "<u4")
-            self.cache.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
-        return b"".join([self.cache[w] for w in words])
+            word = np.searchsorted(starts, np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids)), side="right") - 1
+            ends = np.searchsorted(word, np.arange(len(part)), side="right").tolist()
+            ids = np.array(found.ids, "<u4").tobytes()
+            self.cache.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """The encoder of this process: tasks of one worker share its cache."""
+    return WordIds(path)
