@@ -130,7 +130,7 @@ def is_macro_name(name: Column) -> Column:
 def parameters(signature: Column) -> Column:
     """array<struct<name,type>> of a signature's parameters, receivers left out."""
     inside = F.regexp_extract(signature, r"(?s)^[^(]*\((.*)\)", 1)
-    parts = F.filter(F.transform(F.split(inside, ","), F.trim), lambda p: (p != "") & ~p.isin("self", "&self", "&mut self", "mut self") & p.contains(":"))
+    parts = F.filter(F.transform(F.split(inside, ","), lambda p: F.trim(p)), lambda p: (p != "") & ~p.isin("self", "&self", "&mut self", "mut self") & p.contains(":"))
     return F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, ":", 1)).alias("name"), F.trim(F.regexp_replace(p, r"(?s)^[^:]*:", "")).alias("type")))
 
 

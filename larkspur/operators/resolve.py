@@ -82,7 +82,8 @@ def resolve_by_location(calls: DataFrame, chunks: DataFrame) -> DataFrame:
     files = equal.where("equal is not null").select("place", F.col("equal").alias("file")).unionByName(suffix)
     tried = places.select("place", "callee_line", F.explode(deltas).alias("d")).select("place", "callee_line", "d.rank", (F.col("callee_line") + F.col("d.delta")).alias("start_line"))
     hits = tried.join(files, "place").join(starts, ["file", "start_line"]).groupBy("place", "callee_line").agg(F.min_by("idx", F.struct("file", "rank")).alias("dst"))
-    return calls.withColumn("place", F.lower("callee_file")).join(hits, ["place", "callee_line"]).select("src", "line", "callee_file", "callee_line", "dst")
+    own = calls.select("src", "line", "callee_file", "callee_line", F.lower("callee_file").alias("place"))
+    return own.join(hits, ["place", "callee_line"]).select("src", "line", "callee_file", "callee_line", "dst")
 
 
 def name_keys(chunks: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,3 +54,16 @@ def release(spark: SparkSession) -> None:
     little to do puts off while the disks fill."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def numbered(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
+    """``df`` with dense numbers from 0 in a total order: a range-partitioned sort, then
+    each partition's rows counted on from those before; only one count per partition
+    comes to the driver."""
+    sorted_ = stage(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "sorted")
+    offsets, total = [], 0
+    for part, n in sorted(sorted_.groupBy("_part").count().collect()):
+        offsets.append((part, total))
+        total += n
+    start = df.sparkSession.createDataFrame(offsets, "_part int, _start long")
+    return sorted_.join(F.broadcast(start), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
