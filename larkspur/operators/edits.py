@@ -147,3 +147,38 @@ def partition_module(functions: DataFrame, edges: DataFrame, min_lines: int = 30
         return pd.DataFrame({"idx": group["idx"], "grp": [place.get(i) if place.get(i) in big else None for i in group["idx"]]}).astype({"grp": "Int64"})
 
     return functions.join(callers, "idx", "left").groupBy("file").applyInPandas(run, "idx long, grp long")
+
+
+def _outside_strings(text: Column, change) -> Column:
+    """``change`` applied to what stands outside double-quoted literals."""
+    parts = F.regexp_extract_all(text, F.lit(r'("(?:[^"\\\\]|\\\\.)*"|[^"]+|")'), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"'), p).otherwise(change(p))), "")
+
+
+def fix_paths(text: Column, old: str, new: str) -> Column:
+    """Module paths that start with ``old::`` start with ``new::``, string literals aside."""
+    return _outside_strings(text, lambda p: F.regexp_replace(p, rf"(?<![A-Za-z0-9_:]){old}::", f"{new}::"))
+
+
+def contains_word(text: Column, word: str) -> Column:
+    return text.rlike(rf"(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])")
+
+
+def ensure_visibility(text: Column, visibility: str = "pub(crate)") -> Column:
+    """An item's first line with a visibility, if it has none."""
+    return F.regexp_replace(text, r"^(\s*)((?:async |unsafe |const )*(?:fn|struct|enum|trait|type|const|static|mod) )", f"$1{visibility} $2")
+
+
+def module_plan(partition: DataFrame, symbols: DataFrame, folder: str) -> DataFrame:
+    """(idx, target): the file of each symbol (idx, name) once its module becomes a folder;
+    symbols without a group stay in mod.rs, a group's file is named by its entry point."""
+    entry = symbols.select(F.col("idx").alias("grp"), F.regexp_replace(F.lower(F.substring_index("name", "::", -1)), "[^a-z0-9_]", "_").alias("stem"))
+    placed = symbols.select("idx").join(partition, "idx", "left").join(entry, "grp", "left")
+    return placed.select("idx", F.concat(F.lit(f"{folder}/"), F.coalesce("stem", F.lit("mod")), F.lit(".rs")).alias("target"))
+
+
+def callers_warned(edges: DataFrame, chunks: DataFrame, doomed: DataFrame) -> DataFrame:
+    """(idx, caller, line): callers in use of symbols (idx) about to be deleted."""
+    users = chunks.where(~F.col("is_test")).select(F.col("idx").alias("caller"))
+    hit = edges.join(doomed.select(F.col("idx").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("idx"), F.col("src").alias("caller"), "line")
+    return hit.join(users, "caller", "left_semi").join(doomed.select(F.col("idx").alias("caller")), "caller", "left_anti").select("idx", "caller", "line")

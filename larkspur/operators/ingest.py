@@ -10,6 +10,9 @@ from larkspur.functions import paths as P
 from larkspur.plans.staging import numbered
 
 
+_PAIRS = "array<struct<name:string,type:string>>"
+
+
 def changed_files(now: DataFrame, index: DataFrame) -> DataFrame:
     """Paths of ``now`` (path, mtime, hash) that are new, or whose time and hash both
     differ from ``index``; a file that can't be read counts as unchanged, one without a
@@ -80,7 +83,10 @@ def to_chunks(raw: DataFrame) -> DataFrame:
         calls.alias("calls"),
         N.parameters(F.coalesce("signature", F.lit(""))).alias("param_types"),
         N.return_type(F.coalesce("signature", F.lit(""))).alias("return_type"),
-        N.field_pairs(F.coalesce("field_accesses", F.lit(""))).alias("field_accesses"),
+        F.when(F.col("kind") == "struct", N.struct_fields(F.coalesce("body", F.lit("")))).otherwise(F.array().cast(_PAIRS)).alias("field_types"),
+        F.array().cast(_PAIRS).alias("local_types"),
+        F.when(F.col("kind") == "enum", N.enum_variants(F.coalesce("body", F.lit("")))).otherwise(F.array().cast("array<string>")).alias("enum_variants"),
+        F.filter(F.split(F.coalesce("field_accesses", F.lit("")), ", "), lambda a: a.contains(".")).alias("field_accesses"),
         "crate_name",
     )
     return numbered(rows, "file", "start_line", "end_line", "name")
@@ -100,3 +106,18 @@ def span_join(points: DataFrame, spans: DataFrame) -> DataFrame:
     hits = points.alias("p").join(spans.alias("s"), cond)
     order = F.struct((F.col("s.end_line") - F.col("s.start_line")).alias("n"), F.col("s.name").alias("name"))
     return hits.groupBy(*[F.col(f"p.{c}") for c in points.columns]).agg(F.min(order).getField("name").alias("name"))
+
+
+def attach_calls(chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """``chunks`` (seq, name, ...) with calls: the calls (caller, callee, line) of a name go to its first symbol."""
+    packed = edges.groupBy(F.col("caller").alias("name")).agg(F.sort_array(F.collect_set(F.struct("line", "callee"))).alias("c"))
+    text = F.array_join(F.transform("c", lambda x: F.concat(x["callee"], F.lit("@"), x["line"].cast("string"))), ", ")
+    first = chunks.groupBy("name").agg(F.min("seq").alias("seq")).join(packed, "name").select("name", "seq", text.alias("calls"))
+    return chunks.join(first, ["name", "seq"], "left").withColumn("calls", F.coalesce("calls", F.lit("")))
+
+
+def polyglot_chunks(chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Extractor chunks with calls attached by bare caller name, to the last chunk of the name."""
+    calls = edges.groupBy(F.substring_index(F.substring_index("caller", "::", -1), ".", -1).alias("name")).agg(F.array_sort(F.collect_set("callee")).alias("calls"))
+    last = chunks.groupBy("name").agg(F.max(F.struct("file", "start_line")).alias("at")).join(calls, "name").select("name", "at.file", "at.start_line", "calls")
+    return chunks.join(last, ["name", "file", "start_line"], "left").withColumn("calls", F.coalesce("calls", F.array().cast("array<string>")))

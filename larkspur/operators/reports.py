@@ -168,3 +168,16 @@ def methods_of(chunks: DataFrame, type_name: str) -> DataFrame:
     """Functions whose owner is the type, generics aside."""
     leaf = type_name.lower().rpartition("::")[2].partition("<")[0]
     return chunks.where((F.col("kind") == "function") & (N.strip_generics(N.owning_type(F.col("name"))) == leaf))
+
+
+def summary(roles: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:
+    """(role, names, more): the first symbols of each role of a context and how many follow."""
+    named = roles.join(chunks.select("idx", "display_name"), "idx")
+    order = F.struct("depth", "idx", "display_name")
+    found = named.groupBy("role").agg(F.slice(F.sort_array(F.collect_list(order)), 1, top).alias("x"), F.count(F.lit(1)).alias("n"))
+    return found.select("role", F.transform("x", lambda r: r["display_name"]).alias("names"), F.greatest(F.col("n") - top, F.lit(0)).alias("more"))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """One JSON text per row."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))

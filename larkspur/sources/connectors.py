@@ -54,6 +54,25 @@ def detect_language(names: set[str]) -> str | None:
     return next((language for marker, language in PROJECT_MARKERS if marker in names), None)
 
 
+def project_root(start: str, markers: tuple[str, ...] = ("Cargo.toml", "go.mod", "package.json", ".git"), most: int = 10) -> str | None:
+    """The first folder from ``start`` upwards, at most ten up, that has a marker."""
+    from pathlib import Path
+
+    at = Path(start).resolve()
+    return next((str(p) for p in [at, *at.parents][:most] if any((p / m).exists() for m in markers)), None)
+
+
+def workspace_members(manifest: str, folders: tuple[str, ...] = ()) -> list[str]:
+    """Members of a workspace manifest; a trailing * stands for each of ``folders`` under it."""
+    import tomllib
+
+    members = tomllib.loads(manifest).get("workspace", {}).get("members", [])
+    out = []
+    for m in members:
+        out += [f for f in folders if f.rpartition("/")[0] == m[:-2]] if m.endswith("/*") else [m]
+    return sorted(set(out))
+
+
 class _Range(InputPartition):
     def __init__(self, lo: int, hi: int):
         self.lo, self.hi = lo, hi
