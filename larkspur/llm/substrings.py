@@ -211,7 +211,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed_words: int = SEED_W
         raise ValueError("texts are too many or too long for 62-bit places")
     texts = texts.select(F.shiftleft(F.shiftright("mid", 33), row_bits).bitwiseOR(F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))).alias("tid"), "text", "seeds")
     edges = _edges(texts, width, seed_words).select("e1", "e2", (F.shiftleft("tid", pos_bits) + F.col("pos")).alias("loc"))
-    sources = edges.groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"), F.min("loc").alias("src")).where("n > 1").select("e1", "e2", "src")
+    sources = stage(edges.groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"), F.min("loc").alias("src")).where("n > 1").select("e1", "e2", "src"), "sources")
+    release(spark)  # the counts' shuffle; and a join of two plain tables can be split where an edge is very common
     marked = edges.join(sources, ["e1", "e2"]).select("loc", "src")
     runs = marked.groupBy(F.shiftright("loc", pos_bits).alias("tid")).agg(F.sort_array(F.collect_list(F.struct("loc", "src"))).alias("runs"))
     spans = stage(_spans(runs.select("runs")), "spans")
