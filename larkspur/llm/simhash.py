@@ -30,8 +30,8 @@ from larkspur.operators.components import connected_components
 from larkspur.plans.staging import stage
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Fingerprints in a tile, about.
-TILE = 4096
+#: Fingerprints in a tile, about; ids that may be broadcast.
+TILE, BROADCAST_IDS = 4096, 1_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -150,9 +150,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` with one document of each component left: the one with
     its smallest doc_id.  Rows with null doc_id stay; of rows that repeat a kept
-    doc_id one stays."""
-    found = near_duplicates(docs, **how)
-    kept = stage(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_of_id")), "kept")
-    single = docs.join(kept.where("rows_of_id = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("rows_of_id > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    doc_id one stays.
+
+    Only the ids that go, and those that repeat, meet the texts: by broadcast up to
+    ``BROADCAST_IDS``, by a shuffle join beyond."""
+    ids = stage(near_duplicates(docs, **how).where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")), "ids")
+    odd = ids.where("n > 1 or not stays")
+    if odd.count() <= BROADCAST_IDS:
+        odd = F.broadcast(odd)
+    single = docs.join(odd.select("doc_id"), "doc_id", "left_anti")
+    repeated = docs.join(odd.where("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(repeated).select(docs.columns)
