@@ -1,19 +1,23 @@
 """Mix sources to target weights by fitting a subset sum over document lengths.
 
-1. Count documents by (source, exact length, seeded hash bucket).
+1. Count documents by (source, exact length).
 2. Share the budget among the sources by weight, capped per source.
 3. Per source: whole epochs first; the rest of the target is met by choosing
    how many documents of each length take one more pass, an even share of every
    length and then a bounded knapsack (bitset dynamic programming) over what is
    left.
-4. The documents of a length are chosen by a seeded hash of their id; only the
-   bucket in which the choice ends is ranked.
+4. The documents of a length are chosen by a seeded hash of their id: those up to
+   the hash of the last one chosen.  That hash is found by counts over hash buckets
+   and a rank within one bucket, so that a very common length is never ranked whole.
+
+The choice is one row per (source, length), which grows with the lengths there are
+and not with the documents; texts meet it where they are read, by broadcast up to
+``BROADCAST_CELLS`` rows and by a shuffle join beyond.
 
 Cases.  Null text or text without words: size 0, taken 0.  Null source: a
-source of its own, after all others.  Null doc_id: hashed as null, so such rows
-of one source and length are chosen in no stated order among themselves.
-Repeated rows are separate documents; rows that tie in the hash are ordered by
-doc_id.  An empty table gives no rows.  Other columns of the input are ignored.
+source of its own, after all others.  Rows of one source and length that share a
+doc_id (null too) share the hash and are chosen together.  Repeated rows are
+separate documents.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ WEIGHTS = (5, 2, 1)
 #: Target of the whole mix as a share of all words, and of a source as a multiple of its own.
 SHARE, CAP = 1.5, 2.0
 SEED = 42
-#: Hash buckets within a (source, length); one of them is ranked.
-BUCKETS = 64
+#: Leading bits of the hash that make a bucket; rows of the choice that may be broadcast.
+BUCKET_BITS, BROADCAST_CELLS = 6, 500_000
 #: Words that the dynamic programme may have left to fill, at most.
 KNAPSACK_WORDS = 1 << 17
 #: One row per source is held by the driver.
@@ -102,65 +106,65 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
     return take
 
 
-def _choose(share: float, group: pd.DataFrame) -> pd.DataFrame:
-    """For one source: per (length, bucket), passes that all its documents make
-    and how many, in hash order, make one more."""
-    group = group.sort_values(["size", "bucket"], kind="stable")
-    whole = int(group["size"].mul(group["n"]).sum())
+def _choose(cap: float, group: pd.DataFrame) -> pd.DataFrame:
+    """For one source: per length, passes that all its documents make and how many make one more."""
+    group = group.sort_values("size")
+    lengths, counts = group["size"].tolist(), group["n"].tolist()
+    whole = sum(n * c for n, c in zip(lengths, counts, strict=True))
     target = round(float(group["target"].iloc[0]))
-    passes = min(target // whole, int(share)) if whole else 0
-    by_length = group.groupby("size", sort=True)["n"].sum()
-    lengths, counts = by_length.index.tolist(), by_length.tolist()
-    extra = fit_lengths(lengths, counts, max(0, target - passes * whole)) if passes < share else [0] * len(lengths)
-    left, more = dict(zip(lengths, extra, strict=True)), []
-    for size, n in zip(group["size"], group["n"], strict=True):
-        k = min(int(n), left[size])
-        left[size] -= k
-        more.append(k)
-    return group.assign(passes=passes, more=more)[["source_key", "size", "bucket", "n", "passes", "more"]].astype({"passes": "int64", "more": "int64"})
-
-
-def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, source, ...) as often as the mix takes them.
-
-    Rows that share doc_id and source are taken as often as all of them together,
-    spread evenly; texts meet the choice by one shuffle join on the two."""
-    chosen = stage(mix_sources(docs, **how).groupBy("doc_id", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")), "chosen")
-    once = chosen.where("rows = 1").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies")
-    many = chosen.where("rows > 1").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies", "rows")
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source")
-    taken = rows.join(once, match).select("row", "copies")
-    nth = F.row_number().over(Window.partitionBy("_id", "_source").orderBy(F.xxhash64("row")))
-    # the first rows make one pass more than the others when the passes don't divide
-    shared = rows.join(many, match).withColumn("nth", nth).select("row", (F.floor((F.col("copies") + F.col("rows") - F.col("nth")) / F.col("rows"))).alias("copies"))
-    every = taken.unionByName(shared).where("copies > 0")
-    return every.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*columns)
+    passes = min(target // whole, int(cap)) if whole else 0
+    more = fit_lengths(lengths, counts, max(0, target - passes * whole)) if passes < cap else [0] * len(lengths)
+    return group.assign(passes=passes, more=more)[["source_key", "size", "n", "passes", "more"]].astype({"passes": "int64", "more": "int64"})
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (passes the document makes), taken."""
-    spark = docs.sparkSession
-    sized = stage(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("draw")).select(
-            # a key without nulls: joins then keep the rows of the null source
-            "*", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"), F.pmod("draw", F.lit(BUCKETS)).cast("int").alias("bucket")
-        ),
-        "sized",
-    )
-    counts = stage(sized.groupBy("source_key", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "lengths")
+def _sized(docs: DataFrame, seed: int, *more: str) -> DataFrame:
+    """Size, hash and null-free source key of each row, beside the columns asked for."""
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    return docs.select(*more, word_count(F.col("text")).alias("size"), draw.alias("draw"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source_key"))
+
+
+def _choice(sized: DataFrame, weights, share: float, cap: float) -> DataFrame:
+    """(source_key, size, source_size, target, passes, cut): documents whose hash is at
+    most ``cut`` make one more pass; null: none does."""
+    spark = sized.sparkSession
+    cell = ["source_key", "size"]
+    counts = stage(sized.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")), "lengths")
     rows = counts.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("words")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; mix coarser ones")
     rows = sorted(rows, key=lambda r: (r[0] == "", r[0]))
     targets = fill_targets([(r[0], r[1]) for r in rows], weights, share, cap)
     goal = spark.createDataFrame([(r[0], r[1], float(t)) for r, t in zip(rows, targets, strict=True)], "source_key string, source_size long, target double")
-    chosen = counts.join(F.broadcast(goal), "source_key").groupBy("source_key").applyInPandas(lambda g: _choose(cap, g), "source_key string, size long, bucket int, n long, passes long, more long")
-    plan = stage(chosen, "choice")
-    # every document of most (length, bucket) cells is treated alike; only where the choice ends inside one are its documents ranked
-    joined = sized.join(plan, ["source_key", "size", "bucket"])
-    ranked = joined.where("more > 0 and more < n").withColumn("nth", F.row_number().over(Window.partitionBy("source_key", "size", "bucket").orderBy("draw", "doc_id")))
-    alike = joined.where("more = 0 or more = n").withColumn("nth", F.lit(0))
-    out = alike.unionByName(ranked).withColumn("copies", F.col("passes") + F.when((F.col("more") > 0) & (F.col("nth") <= F.col("more")), 1).otherwise(0))
-    return out.join(F.broadcast(goal), "source_key").select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.least("copies", F.lit(1))).cast("int").alias("copies"), (F.col("size") * F.col("copies")).alias("taken"))
+    plan = stage(counts.join(F.broadcast(goal), "source_key").groupBy("source_key").applyInPandas(lambda g: _choose(cap, g), "source_key string, size long, n long, passes long, more long"), "choice")
+    part = plan.where("more > 0 and more < n").select(*cell, "more")
+    # the bucket, by leading bits of the hash, in which the choice of a length ends, and how many of it are chosen
+    bucketed = sized.select(*cell, "draw", F.shiftright("draw", 64 - BUCKET_BITS).alias("bucket"))
+    upto = F.sum("k").over(Window.partitionBy(*cell).orderBy("bucket"))
+    ends = bucketed.groupBy(*cell, "bucket").agg(F.count(F.lit(1)).alias("k")).join(part, cell).withColumn("upto", upto)
+    ends = ends.where("upto >= more and upto - k < more").select(*cell, "bucket", (F.col("more") - F.col("upto") + F.col("k")).alias("left"))
+    nth = F.row_number().over(Window.partitionBy(*cell).orderBy("draw"))
+    cuts = bucketed.join(ends, [*cell, "bucket"]).withColumn("nth", nth).where("nth = left").select(*cell, F.col("draw").alias("found"))
+    cut = F.when(F.col("more") == F.col("n"), F.lit((1 << 63) - 1)).otherwise(F.col("found"))
+    return stage(plan.join(cuts, cell, "left").join(F.broadcast(goal), "source_key").select(*cell, "source_size", "target", "passes", cut.alias("cut")), "cuts")
+
+
+def _with_copies(sized: DataFrame, choice: DataFrame) -> DataFrame:
+    if choice.count() <= BROADCAST_CELLS:
+        choice = F.broadcast(choice)
+    copies = F.col("passes") + F.coalesce(F.col("draw") <= F.col("cut"), F.lit(False)).cast("long")
+    # a document without words stays once: it costs nothing
+    return sized.join(choice, ["source_key", "size"]).withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(1)).cast("int"))
+
+
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (passes the document makes), taken."""
+    sized = stage(_sized(docs, seed, "doc_id", "source"), "sized")
+    out = _with_copies(sized, _choice(sized, weights, share, cap))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, source, ...) as often as the mix takes them."""
+    choice = _choice(stage(_sized(docs, seed), "sized"), weights, share, cap)
+    rows = _with_copies(_sized(docs.select("doc_id", "text", "source", F.struct("*").alias("row")), seed, "row"), choice).where("copies > 0")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
