@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.tokens import default_path, word_ids
+from larkspur.llm.tokens import CACHE_WORDS, default_path, word_ids
 from larkspur.plans.staging import stage
 
 CAPACITY, CLOSING_ID = 4096, 1
@@ -56,12 +56,12 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
     path = tokenizer_path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(path)
+        encoder = word_ids(path, cache_words)
         closing, width = np.array([CLOSING_ID], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
@@ -135,6 +135,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, items:
     return every.mapInArrow(place, f"{_PIECE}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of ``docs`` with their place in the sequences."""
-    return pack(stage(token_pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
+    return pack(stage(token_pieces(docs, tokenizer_path, capacity, cache_words), "pieces"), capacity)

@@ -78,6 +78,6 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, room: int = CACHE_WORDS) -> WordIds:
     """The encoder of this process: tasks of one worker share its cache."""
-    return WordIds(path)
+    return WordIds(path, room)
