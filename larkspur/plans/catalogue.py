@@ -134,9 +134,26 @@ def dead_code(t: Tables) -> DataFrame:
     return reports.dead_code(t.chunks(), t.sparse_edges(), t.files())
 
 
+# Queries on the thin graph answer for its calls only; those named _whole answer for all calls.
+_DEAD_WHOLE = _DEAD.strip().replace("FROM sparse", "FROM edges")
+
+
+@query(f"WITH {_DEAD_WHOLE} SELECT crate, idx, name, file FROM d JOIN files USING (file) WHERE end_line <= n_lines")
+def dead_code_whole(t: Tables) -> DataFrame:
+    return reports.dead_code(t.chunks(), t.edges(), t.files())
+
+
 @query(f"WITH {_DEAD.strip()} SELECT crate, count(*)::BIGINT AS dead, md5(string_agg(idx::VARCHAR, ',' ORDER BY idx)) AS members_md5 FROM d JOIN files USING (file) WHERE end_line <= n_lines GROUP BY 1")
 def dead_by_crate(t: Tables) -> DataFrame:
-    found = reports.dead_code(t.chunks(), t.sparse_edges(), t.files())
+    return _dead_by_crate(reports.dead_code(t.chunks(), t.sparse_edges(), t.files()))
+
+
+@query(f"WITH {_DEAD_WHOLE} SELECT crate, count(*)::BIGINT AS dead, md5(string_agg(idx::VARCHAR, ',' ORDER BY idx)) AS members_md5 FROM d JOIN files USING (file) WHERE end_line <= n_lines GROUP BY 1")
+def dead_by_crate_whole(t: Tables) -> DataFrame:
+    return _dead_by_crate(reports.dead_code(t.chunks(), t.edges(), t.files()))
+
+
+def _dead_by_crate(found: DataFrame) -> DataFrame:
     members = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("idx")), lambda i: i.cast("string")), ","))
     return found.groupBy("crate").agg(F.count(F.lit(1)).alias("dead"), members.alias("members_md5"))
 
@@ -387,12 +404,24 @@ def blast_field(t: Tables) -> DataFrame:
     return reports.blast_counts(reports.blast(t.chunks(), t.sparse_edges(), users))
 
 
+@query("WITH " + _walk("dst", "src", "SELECT idx, 0 FROM access WHERE key = 'click::f3'", 2) + f" SELECT count(*) FILTER (depth > 0 AND NOT {_TEST})::BIGINT AS prod, count(*) FILTER (depth > 0 AND {_TEST})::BIGINT AS tests FROM w JOIN chunks USING (idx)")
+def blast_field_whole(t: Tables) -> DataFrame:
+    users = t.field_accesses().where(F.col("key") == "click::f3").select("idx")
+    return reports.blast_counts(reports.blast(t.chunks(), t.edges(), users))
+
+
 @query("WITH " + _walk("dst", "src", "SELECT DISTINCT idx, 0 FROM access WHERE starts_with(key, 'signup::')", 2, "sparse") + f" SELECT idx, depth, {_TEST} AS test FROM w JOIN chunks USING (idx)")
 def blast_type(t: Tables) -> DataFrame:
     users = t.field_accesses().where(F.col("key").startswith("signup::")).select("idx")
     return reports.blast(t.chunks(), t.sparse_edges(), users)
 
 
+@query("WITH " + _walk("dst", "src", "SELECT DISTINCT idx, 0 FROM access WHERE starts_with(key, 'signup::')", 2) + f" SELECT idx, depth, {_TEST} AS test FROM w JOIN chunks USING (idx)")
+def blast_type_whole(t: Tables) -> DataFrame:
+    users = t.field_accesses().where(F.col("key").startswith("signup::")).select("idx")
+    return reports.blast(t.chunks(), t.edges(), users)
+
+
 _BOTH = "u AS (SELECT src AS a, dst AS b FROM sparse UNION SELECT dst, src FROM sparse)"
 _ENDS = "(SELECT min(idx) AS lo, max(idx) AS hi FROM comp WHERE c = (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1))"
 _COMP = f"{_BOTH}, reach(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM reach AS r JOIN u ON u.a = r.b), comp AS (SELECT a AS idx, least(a, min(b)) AS c FROM reach GROUP BY a)"
@@ -403,9 +432,14 @@ def components(t: Tables) -> DataFrame:
     return connected_components(t.sparse_edges())
 
 
-def _ends(t: Tables) -> tuple[DataFrame, DataFrame]:
+@query()
+def components_whole(t: Tables) -> DataFrame:
+    return connected_components(t.edges())
+
+
+def _ends(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Smallest and largest node of the largest component."""
-    found = connected_components(t.sparse_edges())
+    found = connected_components(edges)
     largest = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).orderBy(F.desc("n"), "component").limit(1)
     return largest.select(F.col("lo").alias("idx")), largest.select(F.col("hi").alias("idx"))
 
@@ -415,10 +449,15 @@ _LEVELS = f"{_COMP}, ends AS {_ENDS}, lv(idx, depth) AS (SELECT lo, 0 FROM ends
 
 @query(f"WITH {_LEVELS} SELECT depth::BIGINT AS hops FROM least_ JOIN ends ON idx = hi")
 def trace_hops(t: Tables) -> DataFrame:
-    lo, hi = _ends(t)
+    lo, hi = _ends(t.sparse_edges())
     return graph.shortest_path(t.sparse_edges(), lo, hi).agg((F.count(F.lit(1)) - 1).alias("hops"))
 
 
+@query()
+def trace_hops_whole(t: Tables) -> DataFrame:
+    return graph.shortest_path(t.edges(), *_ends(t.edges())).agg((F.count(F.lit(1)) - 1).alias("hops"))
+
+
 @query(
     f"""WITH {_LEVELS},
     back(idx, depth) AS (SELECT hi, depth FROM ends JOIN least_ ON least_.idx = hi
@@ -426,10 +465,15 @@ def trace_hops(t: Tables) -> DataFrame:
     SELECT depth::INTEGER AS pos, idx FROM back"""
 )
 def trace_path(t: Tables) -> DataFrame:
-    lo, hi = _ends(t)
+    lo, hi = _ends(t.sparse_edges())
     return graph.shortest_path(t.sparse_edges(), lo, hi)
 
 
+@query()
+def trace_path_whole(t: Tables) -> DataFrame:
+    return graph.shortest_path(t.edges(), *_ends(t.edges()))
+
+
 _INNER = """f AS (SELECT idx, crate_name AS g, end_line - start_line + 1 AS n FROM chunks WHERE kind = 'function'),
 i AS (SELECT src AS a, dst AS b FROM sparse JOIN f AS x ON x.idx = src JOIN f AS y ON y.idx = dst WHERE x.g = y.g), i2 AS (SELECT a, b FROM i UNION SELECT b, a FROM i),
 ir(a, b) AS (SELECT a, b FROM i2 UNION SELECT r.a, i2.b FROM ir AS r JOIN i2 ON i2.a = r.b), ic AS (SELECT a AS idx, least(a, min(b)) AS c FROM ir GROUP BY a)"""
@@ -441,6 +485,11 @@ def cluster_candidates(t: Tables) -> DataFrame:
     return graph.clusters(t.chunks().withColumn("file", F.col("crate_name")), t.sparse_edges())
 
 
+@query()
+def cluster_candidates_whole(t: Tables) -> DataFrame:
+    return graph.clusters(t.chunks().withColumn("file", F.col("crate_name")), t.edges())
+
+
 @query()
 def flow_tree(t: Tables) -> DataFrame:
     return graph.flow_tree(t.chunks(), t.edges(), 1, 3)
@@ -704,7 +753,7 @@ def split_plan(t: Tables) -> DataFrame:
 @query()
 def module_partition(t: Tables) -> DataFrame:
     functions = t.chunks().where("kind = 'function'").select(F.col("crate_name").alias("file"), "idx", F.coalesce(F.col("signature").startswith("pub "), F.lit(False)).alias("is_pub"), (F.col("end_line") - F.col("start_line") + 1).alias("lines"))
-    return edits.partition_module(functions, t.sparse_edges(), 30)
+    return edits.partition_module(functions, t.edges(), 30)
 
 
 # ---- streams ---------------------------------------------------------------
