@@ -398,6 +398,12 @@ def blast_symbol(t: Tables) -> DataFrame:
     return reports.blast(chunks, t.sparse_edges(), named, depth=1)
 
 
+@query("WITH " + _walk("dst", "src", "SELECT idx, 0 FROM chunks WHERE display_name = 'small_ring'", 2) + f" SELECT idx, depth, {_TEST} AS test FROM w JOIN chunks USING (idx)")
+def blast_symbol_whole(t: Tables) -> DataFrame:
+    chunks = t.chunks()
+    return reports.blast(chunks, t.edges(), resolve.resolve_symbol(chunks, "small_ring"), depth=1)
+
+
 @query("WITH " + _walk("dst", "src", "SELECT idx, 0 FROM access WHERE key = 'click::f3'", 2, "sparse") + f" SELECT count(*) FILTER (depth > 0 AND NOT {_TEST})::BIGINT AS prod, count(*) FILTER (depth > 0 AND {_TEST})::BIGINT AS tests FROM w JOIN chunks USING (idx)")
 def blast_field(t: Tables) -> DataFrame:
     users = t.field_accesses().where(F.col("key") == "click::f3").select("idx")

@@ -50,3 +50,14 @@ def test_dead_and_blast(spark, sf):
 def test_module_partition_follows_all_calls(spark, sf):
     found = {r.idx: r.grp for r in run(spark, sf, "module_partition").collect()}
     assert (found[12], found[13], found[14]) == (12, 12, 12)
+
+
+def test_blast_of_every_symbol_of_a_name(spark, sf):
+    assert {(r.idx, r.depth) for r in run(spark, sf, "blast_symbol_whole").collect()} == {(50, 0), (51, 1)}
+
+
+def test_entry_starts_from_every_seed(spark):
+    import __spark_entry__ as entry
+
+    named = {r.idx for r in catalogue.QUERIES["resolve_symbol"](spark, "/root/testdata/sf0.001").collect()}
+    assert {r.idx for r in entry.entry(spark).where("depth = 0").collect()} == named
