@@ -73,8 +73,8 @@ class Project:
         recents = self._spark().createDataFrame([(n, i) for i, n in enumerate(self.recents)], "name string, ord int")
         return reports.ranked_by_recent(self.chunks, recents).orderBy(F.desc("score"), "idx")
 
-    def dupes(self, threshold: float = 0.5, exclude_tests: bool = False, k: int = 50, min_lines: int = 5, mode: str = "tokens") -> DataFrame:
-        """``mode``: tokens (MinHash), ast (hash groups) or all (both, verified).  Needs ``text`` and ``calls`` in the symbols."""
+    def dupes(self, threshold: float = 0.5, exclude_tests: bool = False, k: int = 50, min_lines: int = 5, mode: str = "tokens", copies: bool = False) -> DataFrame:
+        """``mode``: tokens (MinHash; equal signatures too with ``copies``), ast (hash groups) or all (both, with copies, verified).  Needs ``text`` and ``calls`` in the symbols."""
         rows = similarity.candidates(self.chunks, min_lines, exclude_tests)
         lines = similarity.line_count(F.col("start_line"), F.col("end_line"))
         calls = F.transform("calls", lambda c: c["name"])
@@ -83,8 +83,9 @@ class Project:
             return similarity.hash_groups(hashed, k)
         signed = similarity.minhash(similarity.features(similarity.code_tokens(rows.select("idx", "text"))))
         if mode == "all":
-            return similarity.unified_pairs(rows, signed, hashed, threshold, k)
-        return similarity.minhash_pairs(signed, threshold).orderBy(F.desc("matches"), "a", "b").limit(k)
+            return similarity.unified_classes(rows, signed, hashed, threshold, k)
+        found = similarity.token_pairs(rows, signed, threshold) if copies else similarity.minhash_pairs(signed, threshold)
+        return found.orderBy(F.desc("matches"), "a", "b").limit(k)
 
     def analyze(self, pairs: DataFrame) -> DataFrame:
         return similarity.analyze_pairs(pairs, self.edges, self.chunks)

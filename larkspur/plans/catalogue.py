@@ -12,6 +12,7 @@ from larkspur.functions import names as N
 from larkspur.functions import paths as P
 from larkspur.operators import edits, graph, ingest, reports, resolve, similarity
 from larkspur.operators.components import connected_components
+from larkspur.plans.staging import stage
 from larkspur.sources.connectors import language_summary
 from larkspur.sources.projections import ORACLE_VIEWS, Tables, project
 
@@ -630,6 +631,12 @@ def unified_dupes(t: Tables) -> DataFrame:
     return similarity.unified_pairs(rows, _signatures(t), rows.select("idx", "hash"), 0.4)
 
 
+@query()
+def unified_dupes_whole(t: Tables) -> DataFrame:
+    rows = _clone_chunks(t)
+    return similarity.unified_classes(rows, stage(_signatures(t), "signatures"), rows.select("idx", "hash"), 0.4)
+
+
 @query("WITH o AS (SELECT a.idx AS a, b.idx AS b, a.start_line AS s1, a.end_line AS e1, b.start_line AS s2, b.end_line AS e2 FROM chunks AS a JOIN chunks AS b USING (file) WHERE a.idx < b.idx AND a.kind = 'struct' AND b.kind = 'struct') SELECT a, b FROM o WHERE NOT (s1 <= e2 AND s2 <= e1)")
 def dupe_overlap_filter(t: Tables) -> DataFrame:
     c = t.chunks().where("kind = 'struct'")

@@ -1,7 +1,10 @@
 """Queries over whole tables against brute force: no call, symbol, point or pair is left out."""
 
+import random
+
 import pytest
 
+from larkspur.operators import similarity
 from larkspur.plans import catalogue
 
 #: Calls by lines that the thin graph leaves out, and one that it keeps.
@@ -61,3 +64,46 @@ def test_entry_starts_from_every_seed(spark):
 
     named = {r.idx for r in catalogue.QUERIES["resolve_symbol"](spark, "/root/testdata/sf0.001").collect()}
     assert {r.idx for r in entry.entry(spark).where("depth = 0").collect()} == named
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unified_classes_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    base = [rng.randrange(1000) for _ in range(64)]
+    signs = [base, [v if k % 8 else -1 for k, v in enumerate(base)], [v if k % 2 else -2 for k, v in enumerate(base)], [rng.randrange(1000) for _ in range(64)]]
+    rows = []
+    for i in range(24):
+        start = rng.choice([1, 8, 15, None])
+        rows.append((i, rng.choice("ff g".split()) if seed else "f", start, start and start + 9, rng.choice([None, "x", "y", f"own{i}"]), rng.choice([None, *signs])))
+    chunks = spark.createDataFrame([r[:5] for r in rows], "idx long, file string, start_line int, end_line int, hash string")
+    signed = spark.createDataFrame([(r[0], r[5]) for r in rows if r[5]], "idx long, signature array<long>")
+    got = {(r.a, r.b): (r.jaccard, r.same_hash, r.class_a, r.class_b) for r in similarity.unified_classes(chunks, signed, chunks.select("idx", "hash"), 0.4).collect()}
+    first = {}
+    for r in rows:
+        first.setdefault(str(r[5]), r[0])
+    class_of = {r[0]: first[str(r[5])] if r[5] else None for r in rows}
+    want = {}
+    for a in rows:
+        for b in rows[a[0] + 1 :]:
+            j = sum(x == y for x, y in zip(a[5], b[5])) / 64 if a[5] and b[5] else 0.0
+            same = a[4] is not None and a[4] == b[4]
+            over = a[1] == b[1] and a[2] is not None and b[2] is not None and a[2] <= b[3] and b[2] <= a[3]
+            if not over and (same or j >= 0.4):
+                want[a[0], b[0]] = (j, same, class_of[a[0]], class_of[b[0]])
+    assert got.items() <= want.items()
+    classes = {frozenset(v[2:]) for v in got.values()}
+    in_class = {(x, v[2]) for p, v in got.items() if v[2] == v[3] for x in p}
+    in_hash = {x for p, v in got.items() if v[1] for x in p}
+    for (a, b), (j, same, ca, cb) in want.items():
+        assert not same or {a, b} <= in_hash
+        if j >= 0.4:
+            assert {(a, ca), (b, ca)} <= in_class if ca == cb else frozenset((ca, cb)) in classes
+
+
+def test_dupes_report_copies(spark):
+    from test_api import project
+
+    p, ids = project(spark)
+    same = {ids[n] for n in ("run", "help", "lonely", "check")}
+    assert {x for r in p.dupes(copies=True).collect() for x in (r.a, r.b)} == same
+    assert {x for r in p.dupes(mode="all").collect() for x in (r.a, r.b)} == same
