@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import names as N
@@ -611,8 +611,9 @@ def structure_hashes(t: Tables) -> DataFrame:
     return _hashed(t).select("idx", "hash")
 
 
-def _clone_chunks(t: Tables) -> DataFrame:
-    return t.raw("documents").select(F.col("doc_id").alias("idx"), "source", "n_chars", "text").select("idx", F.col("source").alias("file"), (F.col("n_chars") % 1000).cast("int").alias("start_line"), (F.col("n_chars") % 1000 + 20).cast("int").alias("end_line"), F.md5(F.substring("text", 1, 40)).alias("hash"))
+def _clone_chunks(t: Tables, hashed: Column | None = None) -> DataFrame:
+    hashed = F.md5(F.substring("text", 1, 40)) if hashed is None else hashed
+    return t.raw("documents").select(F.col("doc_id").alias("idx"), "source", "n_chars", "text").select("idx", F.col("source").alias("file"), (F.col("n_chars") % 1000).cast("int").alias("start_line"), (F.col("n_chars") % 1000 + 20).cast("int").alias("end_line"), hashed.alias("hash"))
 
 
 _UNIFIED = f"""{_SIGNED}, cc AS (SELECT doc_id AS idx, source AS file, (n_chars % 1000)::INTEGER AS s, (n_chars % 1000 + 20)::INTEGER AS e, md5(text[1:40]) AS hash FROM documents),
@@ -633,7 +634,7 @@ def unified_dupes(t: Tables) -> DataFrame:
 
 @query()
 def unified_dupes_whole(t: Tables) -> DataFrame:
-    rows = _clone_chunks(t)
+    rows = _clone_chunks(t, similarity.body_digest(F.col("text")))
     return similarity.unified_classes(rows, stage(_signatures(t), "signatures"), rows.select("idx", "hash"), 0.4)
 
 

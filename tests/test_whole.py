@@ -107,3 +107,12 @@ def test_dupes_report_copies(spark):
     same = {ids[n] for n in ("run", "help", "lonely", "check")}
     assert {x for r in p.dupes(copies=True).collect() for x in (r.a, r.b)} == same
     assert {x for r in p.dupes(mode="all").collect() for x in (r.a, r.b)} == same
+
+
+def test_unified_dupes_hash_whole_texts(spark, tmp_path):
+    words = lambda seed: " ".join(f"w{random.Random(seed * 1000 + i).randrange(10**6)}" for i in range(80))
+    opening = "the same opening of more than forty characters\n"
+    texts = [opening + words(1), opening + words(2), words(3) + "\nlast", "// a comment first\n" + words(3) + "\nlast"]
+    docs = [(i, x, f"s{i}", len(x)) for i, x in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.a, r.b, r.same_hash) for r in run(spark, str(tmp_path), "unified_dupes_whole").collect()} == {(2, 3, True)}
