@@ -154,7 +154,12 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Only the ids that go, and those that repeat, meet the texts: by broadcast up to
     ``BROADCAST_IDS``, by a shuffle join beyond."""
-    ids = stage(near_duplicates(docs, **how).where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")), "ids")
+    return keep_components(docs, near_duplicates(docs, **how))
+
+
+def keep_components(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """:func:`keep_one` for the components (doc_id, component_id) of the rows."""
+    ids = stage(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")), "ids")
     odd = ids.where("n > 1 or not stays")
     if odd.count() <= BROADCAST_IDS:
         odd = F.broadcast(odd)
