@@ -22,6 +22,9 @@ def sf(spark, tmp_path_factory):
     spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_quantity double").write.parquet(f"{base}/lineitem.parquet")
     events = [(2, 3, "click"), (4, 3, "signup")]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{base}/events.parquet")
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = [(i, text if i in (2, 11) else f"{i}", f"s{i}", 9) for i in range(1, 31)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").write.parquet(f"{base}/documents.parquet")
     return base
 
 
@@ -116,3 +119,15 @@ def test_unified_dupes_hash_whole_texts(spark, tmp_path):
     docs = [(i, x, f"s{i}", len(x)) for i, x in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert {(r.a, r.b, r.same_hash) for r in run(spark, str(tmp_path), "unified_dupes_whole").collect()} == {(2, 3, True)}
+
+
+def test_context_follows_calls_at_any_line(spark, sf):
+    assert {(r.idx, r.role, r.depth) for r in run(spark, sf, "context_roles_whole").collect()} == {(1, "def", 0), (2, "callee", 1), (3, "type", 1)}
+
+
+def test_duplicates_found_are_analysed_over_all_calls(spark, sf):
+    assert [tuple(r) for r in run(spark, sf, "dupe_analysis_whole").collect()] == [(2, 11, 0.0, 0.0, 2, 0, "DIFFERENT LOGIC")]
+
+
+def test_every_point_is_placed(spark, sf):
+    assert {r.idx for r in run(spark, sf, "span_interval_join_whole").collect()} == {*range(1, 31), 50, 51}
