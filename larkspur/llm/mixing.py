@@ -9,6 +9,7 @@
 4. The documents of a length are chosen by a seeded hash of their id: those up to
    the hash of the last one chosen.  That hash is found by counts over hash buckets
    and a rank within one bucket, so that a very common length is never ranked whole.
+   Of rows that share the last hash as many are chosen as are left, by a hash of the row.
 
 The choice is one row per (source, length), which grows with the lengths there are
 and not with the documents; texts meet it where they are read, by broadcast up to
@@ -16,8 +17,8 @@ and not with the documents; texts meet it where they are read, by broadcast up t
 
 Cases.  Null text or text without words: size 0, taken 0.  Null source: a
 source of its own, after all others.  Rows of one source and length that share a
-doc_id (null too) share the hash and are chosen together.  Repeated rows are
-separate documents.  An empty table gives no rows.  Other columns are ignored.
+doc_id (null too) share the hash, and no more of them are chosen than the plan says.
+Repeated rows are separate documents.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from larkspur.plans.staging import stage
 
@@ -124,8 +126,8 @@ def _sized(docs: DataFrame, seed: int, *more: str) -> DataFrame:
 
 
 def _choice(sized: DataFrame, weights, share: float, cap: float) -> DataFrame:
-    """(source_key, size, source_size, target, passes, cut): documents whose hash is at
-    most ``cut`` make one more pass; null: none does."""
+    """(source_key, size, source_size, target, passes, cut, at_cut, ties): documents whose hash
+    is below ``cut``, and ``at_cut`` of the ``ties`` that have it, make one more pass; null: none does."""
     spark = sized.sparkSession
     cell = ["source_key", "size"]
     counts = stage(sized.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")), "lengths")
@@ -143,22 +145,34 @@ def _choice(sized: DataFrame, weights, share: float, cap: float) -> DataFrame:
     ends = bucketed.groupBy(*cell, "bucket").agg(F.count(F.lit(1)).alias("k")).join(part, cell).withColumn("upto", upto)
     ends = ends.where("upto >= more and upto - k < more").select(*cell, "bucket", (F.col("more") - F.col("upto") + F.col("k")).alias("left"))
     nth = F.row_number().over(Window.partitionBy(*cell).orderBy("draw"))
-    cuts = bucketed.join(ends, [*cell, "bucket"]).withColumn("nth", nth).where("nth = left").select(*cell, F.col("draw").alias("found"))
+    before = F.rank().over(Window.partitionBy(*cell).orderBy("draw")) - 1
+    ranked = bucketed.join(ends, [*cell, "bucket"]).withColumns({"nth": nth, "before": before, "ties": F.count(F.lit(1)).over(Window.partitionBy(*cell, "draw"))})
+    cuts = ranked.where("nth = left").select(*cell, F.col("draw").alias("found"), (F.col("nth") - F.col("before")).alias("at_cut"), "ties")
     cut = F.when(F.col("more") == F.col("n"), F.lit((1 << 63) - 1)).otherwise(F.col("found"))
-    return stage(plan.join(cuts, cell, "left").join(F.broadcast(goal), "source_key").select(*cell, "source_size", "target", "passes", cut.alias("cut")), "cuts")
+    return stage(plan.join(cuts, cell, "left").join(F.broadcast(goal), "source_key").select(*cell, "source_size", "target", "passes", cut.alias("cut"), "at_cut", "ties"), "cuts")
 
 
 def _with_copies(sized: DataFrame, choice: DataFrame) -> DataFrame:
+    shared = choice.where("at_cut < ties").limit(1).count() > 0
     if choice.count() <= BROADCAST_CELLS:
         choice = F.broadcast(choice)
-    copies = F.col("passes") + F.coalesce(F.col("draw") <= F.col("cut"), F.lit(False)).cast("long")
+    joined = sized.join(choice, ["source_key", "size"]).withColumn("chosen", F.coalesce(F.col("draw") <= F.col("cut"), F.lit(False)))
+    if shared:
+        tied = F.coalesce((F.col("draw") == F.col("cut")) & (F.col("at_cut") < F.col("ties")), F.lit(False))
+        nth = F.row_number().over(Window.partitionBy("source_key", "size").orderBy("tie"))
+        joined = joined.where(~tied).unionByName(joined.where(tied).withColumn("chosen", nth <= F.col("at_cut")))
+    copies = F.col("passes") + F.col("chosen").cast("long")
     # a document without words stays once: it costs nothing
-    return sized.join(choice, ["source_key", "size"]).withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(1)).cast("int"))
+    return joined.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(1)).cast("int"))
+
+
+def _tie(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)])
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (passes the document makes), taken."""
-    sized = stage(_sized(docs, seed, "doc_id", "source"), "sized")
+    sized = stage(_sized(docs.select("doc_id", "text", "source", _tie(docs).alias("tie")), seed, "doc_id", "source", "tie"), "sized")
     out = _with_copies(sized, _choice(sized, weights, share, cap))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -166,5 +180,5 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source, ...) as often as the mix takes them."""
     choice = _choice(stage(_sized(docs, seed), "sized"), weights, share, cap)
-    rows = _with_copies(_sized(docs.select("doc_id", "text", "source", F.struct("*").alias("row")), seed, "row"), choice).where("copies > 0")
+    rows = _with_copies(_sized(docs.select("doc_id", "text", "source", F.struct("*").alias("row"), _tie(docs).alias("tie")), seed, "row", "tie"), choice).where("copies > 0")
     return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
