@@ -33,12 +33,12 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = Fals
     return out
 
 
-def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """(pos, idx) of one shortest path that ignores direction; ties go to the smallest
     parent, then to the smallest target.  No rows if there is none."""
     hop = edges.select(F.col("src").alias("idx"), F.col("dst").alias("next")).unionByName(edges.select(F.col("dst").alias("idx"), F.col("src").alias("next"))).distinct()
     levels = [stage(sources.select("idx").distinct().withColumn("parent", F.lit(None).cast("long")), "path")]
-    for _ in range(max_hops + 1):
+    while True:
         hit = levels[-1].join(targets.select("idx").distinct(), "idx", "left_semi").agg(F.min("idx")).first()[0]
         if hit is not None:
             path, at = [], hit
@@ -46,9 +46,10 @@ def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_
                 path.append(at)
                 at = level.where(F.col("idx") == at).first()["parent"]
             return edges.sparkSession.createDataFrame(list(enumerate(reversed(path))), "pos int, idx long")
-        seen = levels[0].select("idx")
-        for level in levels[1:]:
-            seen = seen.unionByName(level.select("idx"))
+        # without direction a step leads to the level itself, the one before or a new one
+        seen = levels[-1].select("idx")
+        if len(levels) > 1:
+            seen = seen.unionByName(levels[-2].select("idx"))
         reached = _step(levels[-1], hop)
         new = stage(reached.join(seen, "idx", "left_anti"), "path")
         if new.isEmpty():

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from larkspur.operators import similarity
+from larkspur.operators import graph, similarity
 from larkspur.plans import catalogue
 
 #: Calls by lines that the thin graph leaves out, and one that it keeps.
@@ -131,3 +131,9 @@ def test_duplicates_found_are_analysed_over_all_calls(spark, sf):
 
 def test_every_point_is_placed(spark, sf):
     assert {r.idx for r in run(spark, sf, "span_interval_join_whole").collect()} == {*range(1, 31), 50, 51}
+
+
+def test_traces_have_no_limit(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1) for i in range(67)], "src long, dst long, line int").coalesce(1)
+    ends = [spark.createDataFrame([(i,)], "idx long").coalesce(1) for i in (67, 0)]
+    assert [r.idx for r in sorted(graph.shortest_path(chain, *ends).collect())] == list(range(67, -1, -1))
