@@ -3,9 +3,10 @@
 Documents longer than a sequence are cut into full pieces and a rest.  Full
 pieces are sequences.  The others are packed by partitions: each places its items
 best-fit in decreasing order, emits the bins that are nearly full, and hands the
-underfull ones on as items; fewer partitions then merge these, until one has
-packed what is left or a round no longer saves bins.  A partition never gets more
-than about ``ITEMS`` items, however many there are.
+underfull ones on as items, but for those that not even the least of them fits
+into; fewer partitions then merge these, until one has packed what is left.  A
+partition never gets more than about ``ITEMS`` items, however many there are; if
+more stay underfull, rounds go on as long as they merge any.
 
 Cases.  Null text counts as empty; an empty text is the one closing id.  Very
 long texts are many full pieces.  Equal lengths are placed in the order of their
@@ -16,19 +17,20 @@ An empty table gives no rows.  Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.tokens import CACHE_WORDS, default_path, word_ids
+from larkspur.llm.tokens import BLOCK_CHARS, CACHE_WORDS, default_path, word_ids
 from larkspur.plans.staging import stage
 
 CAPACITY, CLOSING_ID = 4096, 1
-#: A bin with at most this room is emitted; items of a partition, about; rounds at most.
-SLACK, ITEMS, ROUNDS = 8, 30_000, 16
+#: A bin with at most this room is emitted; items of a partition, about.
+SLACK, ITEMS = 8, 30_000
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -56,23 +58,36 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
+def _cut(doc_ids: list[int | None], ids: Iterable[np.ndarray], capacity: int) -> pa.RecordBatch:
+    """The pieces of documents, whose ids are followed by the closing one."""
+    rows: list[tuple] = []
+    closing = np.array([CLOSING_ID], "<u4").tobytes()
+    for doc_id, own in zip(doc_ids, ids, strict=True):
+        n, raw = len(own) + 1, memoryview(np.ascontiguousarray(own)).cast("B")
+        for k, at in enumerate(range(0, n, capacity)):
+            length = min(capacity, n - at)
+            crc = zlib.crc32(raw[4 * at : 4 * (at + length)])
+            rows.append((doc_id, k, at, length, zlib.crc32(closing, crc) if at + length == n else crc))
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
     path = tokenizer_path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path, cache_words)
-        closing, width = np.array([CLOSING_ID], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            rows: list[tuple] = []
-            texts = (text.as_py() or "" for text in batch.column(1))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids(texts), strict=True):
-                ids += closing
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("")
+            bytes_to = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(texts):
+                read = int(bytes_to[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(bytes_to, read + BLOCK_CHARS, side="right")))
+                yield _cut(doc_ids[at:end], encoder.block(texts.slice(at, end - at)), capacity)
+                at = end
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECE)
 
@@ -104,18 +119,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, items:
     bins = pieces.select(F.col("length").alias("fill"), F.array(own).alias("members"))
     full = [bins.where(F.col("fill") >= capacity - slack)]
     under = bins.where(F.col("fill") < capacity - slack)
-    left, partitions = under.count(), None
-    for _ in range(ROUNDS):
-        if not left:
-            break
-        wanted = max(1, -(-left // items))
-        partitions = wanted if partitions is None else max(wanted, partitions // 4)
+    left, partitions, before = under.count(), None, None
+    while left:
+        wanted = -(-left // items)
+        narrower = wanted if partitions is None else max(wanted, partitions // 4)
+        if narrower == partitions and left == before:
+            break  # more bins than a task should hold, and a whole round has merged none of them
+        partitions, before = narrower, left
         done = stage(_round(under, partitions, capacity, slack), "bins")
-        full.append(done.where("done"))
-        under, before = done.where("not done"), left
-        left = under.count()
-        if partitions == 1 or left > 0.99 * before:
+        if partitions == 1:
+            under, left = done.where("false"), 0
+            full.append(done)
             break
+        # a bin that has no room for the least one left will never take another
+        least = done.where("not done").agg(F.min("fill")).first()[0]
+        open_ = (~F.col("done") & (F.col("fill") <= capacity - least)) if least is not None else F.lit(False)
+        full.append(done.where(~open_))
+        under = done.where(open_)
+        left = under.count()
     full.append(under)
     every = full[0].select("members")
     for part in full[1:]:
