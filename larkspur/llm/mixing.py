@@ -1,11 +1,12 @@
 """Mix sources to target weights by fitting a subset sum over document lengths.
 
 1. Count documents by (source, exact length).
-2. Share the budget among the sources by weight, capped per source.
+2. Share the budget among the sources by weight, capped per source, by sums over a
+   table with a row per source.
 3. Per source: whole epochs first; the rest of the target is met by choosing
    how many documents of each length take one more pass, an even share of every
    length and then a bounded knapsack (bitset dynamic programming) over what is
-   left.
+   left; one document that passes the target by less than is missed is taken too.
 4. The documents of a length are chosen by a seeded hash of their id: those up to
    the hash of the last one chosen.  That hash is found by counts over hash buckets
    and a rank within one bucket, so that a very common length is never ranked whole.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from larkspur.plans.staging import stage
+from larkspur.plans.staging import numbered, stage
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -36,11 +37,9 @@ WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
 SEED = 42
 #: Leading bits of the hash that make a bucket; rows of the choice that may be broadcast.
-BUCKET_BITS, BROADCAST_CELLS = 6, 500_000
-#: Words that the dynamic programme may have left to fill, at most.
+BUCKET_BITS, BROADCAST_CELLS = 6, 150_000
+#: Words that are left to the dynamic programme, about; more are filled by the longest that fit.
 KNAPSACK_WORDS = 1 << 17
-#: One row per source is held by the driver.
-MAX_SOURCES = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -69,6 +68,26 @@ def fill_targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: fl
     return target
 
 
+def source_targets(counts: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """(source_key, source_size, target) of counts (source_key, size, n): what :func:`fill_targets`
+    computes, for any number of sources.  Sums alone come to the driver: a source is full once the
+    words given for one unit of weight pass ``cap`` times its size over its weight."""
+    sizes = counts.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), (F.first("source_key") == "").alias("last"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    sources = stage(numbered(sizes, "last", "source_key", name="nth").select("source_key", "source_size", weight.alias("weight")), "sources")
+    most = F.lit(float(cap)) * F.col("source_size")
+    words = sources.agg(F.sum("source_size")).first()[0] or 0
+    left, total, open_ = share * words, None, F.lit(True)
+    while True:
+        row = sources.agg(F.count_if(open_).alias("n"), F.sum(F.when(open_, F.col("weight"))).alias("w"), F.sum(F.when(~open_, most)).alias("full")).first()
+        if row["n"] == total or not row["n"]:
+            break
+        total, left, unit = row["n"], share * words - (row["full"] or 0.0), row["w"]
+        open_ = F.lit(left) * F.col("weight") / F.lit(unit) <= most
+    share_of = F.lit(left) * F.col("weight") / F.lit(unit) if total else F.lit(0.0)
+    return sources.select("source_key", "source_size", F.least(share_of, most).cast("double").alias("target"))
+
+
 def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length to take so that the words come as near to
     ``budget`` as they can without passing it: an even share of each length,
@@ -87,7 +106,13 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
             if more > 0:
                 take[i] += more
                 left -= more * lengths[i]
-    left = min(left, 4 * KNAPSACK_WORDS)
+    while left > KNAPSACK_WORDS:
+        # what is still to be had is longer than half of what is left: the longest that fits, one at a time
+        fits = next((i for i in order if 0 < lengths[i] <= left and take[i] < counts[i]), None)
+        if fits is None:
+            return take
+        take[fits] += 1
+        left -= lengths[fits]
     mask, reach, steps = (1 << (left + 1)) - 1, 1, []
     for i in order[::-1]:  # short lengths make most sums
         spare = min(counts[i] - take[i], left // lengths[i] if lengths[i] else 0)
@@ -108,6 +133,16 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
     return take
 
 
+def _nearest(lengths: list[int], counts: list[int], take: list[int], budget: int) -> list[int]:
+    """``take``, or with one document more where that passes the budget by less than it now misses."""
+    missed = budget - sum(n * k for n, k in zip(lengths, take, strict=True))
+    fits = [(n, i) for i, n in enumerate(lengths) if take[i] < counts[i] and missed < n < 2 * missed]
+    if fits:
+        take = list(take)
+        take[min(fits)[1]] += 1
+    return take
+
+
 def _choose(cap: float, group: pd.DataFrame) -> pd.DataFrame:
     """For one source: per length, passes that all its documents make and how many make one more."""
     group = group.sort_values("size")
@@ -115,7 +150,8 @@ def _choose(cap: float, group: pd.DataFrame) -> pd.DataFrame:
     whole = sum(n * c for n, c in zip(lengths, counts, strict=True))
     target = round(float(group["target"].iloc[0]))
     passes = min(target // whole, int(cap)) if whole else 0
-    more = fit_lengths(lengths, counts, max(0, target - passes * whole)) if passes < cap else [0] * len(lengths)
+    budget = max(0, target - passes * whole)
+    more = _nearest(lengths, counts, fit_lengths(lengths, counts, budget), budget) if passes < cap else [0] * len(lengths)
     return group.assign(passes=passes, more=more)[["source_key", "size", "n", "passes", "more"]].astype({"passes": "int64", "more": "int64"})
 
 
@@ -128,16 +164,12 @@ def _sized(docs: DataFrame, seed: int, *more: str) -> DataFrame:
 def _choice(sized: DataFrame, weights, share: float, cap: float) -> DataFrame:
     """(source_key, size, source_size, target, passes, cut, at_cut, ties): documents whose hash
     is below ``cut``, and ``at_cut`` of the ``ties`` that have it, make one more pass; null: none does."""
-    spark = sized.sparkSession
     cell = ["source_key", "size"]
     counts = stage(sized.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")), "lengths")
-    rows = counts.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("words")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; mix coarser ones")
-    rows = sorted(rows, key=lambda r: (r[0] == "", r[0]))
-    targets = fill_targets([(r[0], r[1]) for r in rows], weights, share, cap)
-    goal = spark.createDataFrame([(r[0], r[1], float(t)) for r, t in zip(rows, targets, strict=True)], "source_key string, source_size long, target double")
-    plan = stage(counts.join(F.broadcast(goal), "source_key").groupBy("source_key").applyInPandas(lambda g: _choose(cap, g), "source_key string, size long, n long, passes long, more long"), "choice")
+    goal = stage(source_targets(counts, weights, share, cap), "goals")
+    if goal.count() <= BROADCAST_CELLS:
+        goal = F.broadcast(goal)
+    plan = stage(counts.join(goal, "source_key").groupBy("source_key").applyInPandas(lambda g: _choose(cap, g), "source_key string, size long, n long, passes long, more long"), "choice")
     part = plan.where("more > 0 and more < n").select(*cell, "more")
     # the bucket, by leading bits of the hash, in which the choice of a length ends, and how many of it are chosen
     bucketed = sized.select(*cell, "draw", F.shiftright("draw", 64 - BUCKET_BITS).alias("bucket"))
@@ -149,7 +181,7 @@ def _choice(sized: DataFrame, weights, share: float, cap: float) -> DataFrame:
     ranked = bucketed.join(ends, [*cell, "bucket"]).withColumns({"nth": nth, "before": before, "ties": F.count(F.lit(1)).over(Window.partitionBy(*cell, "draw"))})
     cuts = ranked.where("nth = left").select(*cell, F.col("draw").alias("found"), (F.col("nth") - F.col("before")).alias("at_cut"), "ties")
     cut = F.when(F.col("more") == F.col("n"), F.lit((1 << 63) - 1)).otherwise(F.col("found"))
-    return stage(plan.join(cuts, cell, "left").join(F.broadcast(goal), "source_key").select(*cell, "source_size", "target", "passes", cut.alias("cut"), "at_cut", "ties"), "cuts")
+    return stage(plan.join(cuts, cell, "left").join(goal, "source_key").select(*cell, "source_size", "target", "passes", cut.alias("cut"), "at_cut", "ties"), "cuts")
 
 
 def _with_copies(sized: DataFrame, choice: DataFrame) -> DataFrame:
