@@ -6,8 +6,8 @@ In training those probabilities are out of fold: predicted for a row by chains
 that were fitted without its fold, so that a later model learns from them what
 they are worth on texts that were not seen.
 
-Learning takes a bounded sample: ``TRAIN_DOCS`` labelled documents by a hash of
-their id.  Their words are counted by category in Spark, the ``FEATURES`` words
+Learning takes a bounded sample: ``TRAIN_DOCS`` documents of those that have a
+label, by a hash of their id.  Their words are counted by category in Spark, the ``FEATURES`` words
 most telling by chi-square are kept, and only the positions of those words in the
 sampled documents come to the driver.  Prediction reads whole texts.
 
@@ -141,12 +141,16 @@ def learn(docs: DataFrame, labels: DataFrame, chain: dict[str, Column] | None =
     """A chain from a sample of the labelled rows of ``docs`` (doc_id, text)."""
     chain = chain or categories()
     names = list(chain)
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(c.cast("int")).alias(n) for n, c in chain.items()]).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    marks = [F.max(c.cast("int")).alias(n) for n, c in chain.items()]
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(*marks).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    known = stage(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "known")  # labels of other documents teach nothing
     total = known.count()
     if not total:
         return None
     drawn = known.where(F.col("h") < min(1.0, 1.3 * train_docs / total) * (1 << 30)).orderBy("h", "doc_id").limit(train_docs)
-    sample = stage(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").select(F.col("h").alias("h"), "text", *names), "labelled")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").select("h", "text", *names)
+    # an id may stand on many rows
+    sample = stage(rows.orderBy("h", "text").limit(train_docs), "labelled")
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
