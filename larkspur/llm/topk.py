@@ -24,7 +24,7 @@ Cases.  Null vectors, vectors that hold a null or non-finite component and rows
 with null id take no part.  Vectors meet only vectors of the same length; length
 zero scores 0.  Ties go to the smaller id.  A query's own row is every row of its
 id.  Repeated candidate rows are candidates of their own; of repeated query rows
-the one with the greatest vector is the query.  Fewer than k candidates: all.  An
+the one with the greatest usable vector is the query.  Fewer than k candidates: all.  An
 empty table gives no rows.  Other columns are ignored.
 """
 
@@ -159,6 +159,8 @@ def _meeting(batch: pa.RecordBatch, row: int) -> tuple:
 def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: float = SCALE, lists: int = LISTS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row where ``is_query``."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks"))
+    finite = lambda x: F.coalesce(F.abs(F.lit(scale) * x) < float("inf"), F.lit(False))  # noqa: E731  # NaN is above infinity
+    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", finite))
     blocks = _numbered(stage(_blocks(rows.select("id", "v"), BLOCK, scale), "blocks")).select("dim", "block", F.col("ids").alias("v_ids"), F.col("matrix").alias("v_matrix"))
     asking = rows.where("asks").groupBy("id").agg(F.max("v").alias("v"))
     asked = _numbered(stage(_blocks(asking, QUERY_BLOCK, scale), "queries")).select("dim", "block", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
