@@ -1,6 +1,7 @@
 """Site-relative line de-duplication.
 
-A line of a site is boilerplate if the pages of the site that contain it, over
+The column ``site`` holds URLs, whose hosts are the sites (:func:`host_of`), or names
+of sites.  A line of a site is boilerplate if the pages of the site that contain it, over
 all pages of the site, exceed a ratio (and are a few at least).  Those lines are
 dropped from every page of that site; other sites keep theirs.
 
@@ -8,7 +9,8 @@ Lines are compared by the text between line feeds without surrounding spaces,
 tabs and carriage returns.  Counting shuffles one 16-byte digest per distinct
 line of a page, combined on the map side; page texts are only joined with the
 short list of their site, by broadcast while that list is under
-``BROADCAST_ROWS`` and by a skew-splitting shuffle join beyond.
+``BROADCAST_ROWS`` and by a shuffle join of two plain tables beyond, which the
+adaptive rule can split where a site has very many pages.
 
 Cases.  Null text stays null with no lines.  Blank lines are neither counted nor
 dropped.  Null site: the site is unknown, so nothing is dropped.  A line repeated
@@ -30,6 +32,13 @@ RATIO, MIN_PAGES = 0.1, 3
 BROADCAST_ROWS = 200_000
 
 
+def host_of(place: Column) -> Column:
+    """The host of a URL, in lower case without user and port; what is no URL stands for its host itself."""
+    place = place.cast("string")
+    host = F.regexp_extract(place, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]/]*\]|[^/?#:]+)", 1)
+    return F.when(host != "", F.lower(host)).otherwise(place)
+
+
 def _key(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
@@ -41,7 +50,7 @@ def _digest(key: Column) -> Column:
 
 def boilerplate_lines(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(site, digest) of every boilerplate line."""
-    pages = docs.select(F.col(site).cast("string").alias("site"), F.col(text).cast("string").alias("text")).where("site is not null")
+    pages = docs.select(host_of(F.col(site)).alias("site"), F.col(text).cast("string").alias("text")).where("site is not null")
     each = pages.select("site", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), _key))).alias("line")).where("line <> ''")
     counts = each.select("site", _digest(F.col("line")).alias("digest")).groupBy("site", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
@@ -51,10 +60,10 @@ def boilerplate_lines(docs: DataFrame, site: str = "source", text: str = "text",
 def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines gone from ``text``, and n_lines and n_dropped."""
     found = stage(boilerplate_lines(docs, site, text, ratio, min_pages), "boilerplate")
-    by_site = found.groupBy("site").agg(F.collect_set("digest").alias("junk"))
+    by_site = stage(found.groupBy("site").agg(F.collect_set("digest").alias("junk")), "junk")
     if found.count() <= BROADCAST_ROWS:
         by_site = F.broadcast(by_site)
-    rows = docs.select(F.struct("*").alias("row"), F.col(site).cast("string").alias("site"), F.split(F.col(text).cast("string"), "\n", -1).alias("lines"))
+    rows = docs.select(F.struct("*").alias("row"), host_of(F.col(site)).alias("site"), F.split(F.col(text).cast("string"), "\n", -1).alias("lines"))
     kept = F.when(F.col("junk").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("junk"), _digest(_key(x)))))
     out = rows.join(by_site, "site", "left").select("row", "lines", kept.alias("kept"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
