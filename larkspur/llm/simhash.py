@@ -17,13 +17,15 @@ input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from larkspur.llm.texts import text_at
 from larkspur.operators.components import connected_components
@@ -136,33 +138,47 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hex digits) and component_id of every row."""
+    """doc_id, fp, fingerprint (16 hex digits), component_id and root (its smallest fp) of every row."""
     marked = stage(fingerprints(docs, shingle, seed), "fingerprints")
     groups = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "groups")
     linked = connected_components(near_links(groups.select("fp"), radius, tile)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     placed = groups.join(linked, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     # only roots that gather several fingerprints need a second look
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stage(placed.join(least, "root").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = stage(placed.join(least, "root").select("fp", "component_id", "root"), "named")
+    return marked.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` with one document of each component left: the one with
-    its smallest doc_id.  Rows with null doc_id stay; of rows that repeat a kept
-    doc_id one stays.
+    """The rows of ``docs`` with one row of each component left, by :func:`keep_components`."""
 
-    Only the ids that go, and those that repeat, meet the texts: by broadcast up to
-    ``BROADCAST_IDS``, by a shuffle join beyond."""
-    return keep_components(docs, near_duplicates(docs, **how))
+    def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield pd.Series([fingerprint(None if t is None else t.encode(), how.get("shingle", SHINGLE), how.get("seed", SEED)) for t in part], dtype="int64")
 
+    return keep_components(docs, near_duplicates(docs, **how), F.pandas_udf(fp, "long"))
 
-def keep_components(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """:func:`keep_one` for the components (doc_id, component_id) of the rows."""
-    ids = stage(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")), "ids")
+
+def keep_components(docs: DataFrame, found: DataFrame, fp: Callable[[Column], Column]) -> DataFrame:
+    """The rows of ``docs`` with one row of each component of ``found`` (doc_id, fp, root
+    of every row) left: that of its smallest doc_id, then fp, then a hash of the row.
+    Rows with null doc_id stay.  What stays is decided for rows, not ids: an id that
+    stands on unlike rows stays with each of them that its component keeps.
+
+    Only the ids that go, and those on several rows, meet the texts: by broadcast up to
+    ``BROADCAST_IDS``, by a shuffle join beyond; the latter's ``fp`` (of the text) is
+    computed again to tell their rows apart."""
+    rows = stage(found.where("doc_id is not null").groupBy("root", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n")), "rows")
+    first = stage(rows.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("first")), "first")
+    judged = rows.join(first, "root").select("doc_id", "fp", "n", (F.struct("doc_id", "fp") == F.col("first")).alias("stays"))
+    ids = stage(judged.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("stays").alias("stays")), "ids")
     odd = ids.where("n > 1 or not stays")
-    if odd.count() <= BROADCAST_IDS:
-        odd = F.broadcast(odd)
-    single = docs.join(odd.select("doc_id"), "doc_id", "left_anti")
-    repeated = docs.join(odd.where("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).select(docs.columns)
+    small = odd.count() <= BROADCAST_IDS
+    meet = F.broadcast if small else lambda x: x
+    single = docs.join(meet(odd.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    several = docs.join(meet(odd.where("stays and n > 1").select("doc_id")), "doc_id", "left_semi")
+    marked = several.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), fp(F.col("text").cast("string")).alias("mark"))
+    kept = judged.where("stays").select(F.col("doc_id").alias("id"), F.col("fp").alias("mark"))
+    plain = [F.col("row").getField(f.name) for f in docs.schema if not isinstance(f.dataType, MapType)]
+    one = marked.join(kept, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min_by("row", F.struct(F.xxhash64(*plain), F.xxhash64(F.lit(1), *plain))).alias("row"))
+    return single.unionByName(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
