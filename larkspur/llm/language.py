@@ -8,13 +8,17 @@ distinct, gives a symbol of count c the share c/(n+q) and escape q/(n+q); below
 the empty context all 256 bytes are alike).  A text's code length under a
 language is the sum over its bytes; the shortest code wins.
 
-Frozen statistics make the cost of a byte a function of its context, so the trees
-of all languages compile into one table (context, byte class) -> costs, exact
-to float32, which numpy gathers for all bytes of a batch at once.
-
-Learning takes a bounded sample: of each of the ``MAX_LANGS`` most frequent
-languages, ``TRAIN_DOCS`` documents by a hash of their id and text, whole, as
-long as they fit ``TRAIN_BYTES`` together.  Prediction reads every byte.
+Frozen statistics make the cost of a byte a function of its context, so each
+tree compiles into a table (context, byte class) -> cost, exact to float32, which
+numpy gathers for all bytes of a batch at once.  The contexts of all languages
+share one numbering; a language maps them to its own longest known suffix.
+
+Learning takes a bounded sample: of each language ``TRAIN_DOCS`` documents by a
+hash of their id and text, whole, as long as they fit ``TRAIN_BYTES`` together.
+There is a tree for every language that has such a document, however many there
+are; a tree is pruned to its ``CONTEXTS`` most frequent contexts, alike for any
+number of languages, and stands in each worker with some 2 MB.  Trees are learnt
+in tasks, a language each.  Prediction reads every byte.
 
 Cases.  Null text, and text without a letter: und, score 0.  No labelled text to
 learn from: und for all.  Ties go to the smaller language name.  Repeated rows
@@ -24,17 +28,23 @@ gives no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.plans.staging import stage
+
 UNKNOWN = "und"
-#: Bytes of context; the sample; contexts and byte classes kept in the compiled table, and its size.
-ORDER, TRAIN_DOCS, TRAIN_BYTES, MAX_LANGS, MAX_CONTEXTS, MAX_CLASSES, TABLE_BYTES = 3, 400, 1_500_000, 64, 30_000, 128, 32 << 20
+#: Bytes of context; the sample of a language; contexts of its tree.
+ORDER, TRAIN_DOCS, TRAIN_BYTES, CONTEXTS = 3, 400, 1_500_000, 4_000
 #: Bytes scored at a time.
 BLOCK = 1 << 19
 
@@ -82,83 +92,81 @@ class ContextTree:
 
 @dataclass
 class CompiledTrees:
-    """langs; class of each byte; state of each context (a mixed-radix code of the classes
-    of its ``order`` bytes, 0 before the text starts); cost[state, class, language]."""
+    """langs; class of each byte (0: before the text; 1: never learnt); number of each context (a
+    mixed-radix code of the classes of its ``order`` bytes); per language the row of each context
+    in its own table, and the table of costs by row and class."""
 
     langs: list[str]
     classes: np.ndarray
     state: np.ndarray
-    cost: np.ndarray
+    rows: list[np.ndarray]
+    cost: list[np.ndarray]
     order: int
 
+    @property
+    def radix(self) -> int:
+        return int(self.classes.max()) + 1 if len(self.classes) else 2
 
-def prune(trees: dict[str, ContextTree], keep: int = MAX_CONTEXTS, classes: int = MAX_CLASSES) -> list[int]:
-    """Drop the rarest longest contexts, of all languages together, and return the
-    bytes that stay apart; the others, rare or never seen, cost as unseen ones."""
-    total: dict[bytes, int] = {}
-    for tree in trees.values():
-        for context, seen in tree.counts.items():
-            total[context] = total.get(context, 0) + sum(seen.values())
-    ranked = sorted(total, key=lambda c: (len(c) > 1, -total[c], c))
-    usual: dict[int, int] = {}
-    for tree in trees.values():
-        for byte, n in tree.counts[b""].items():
-            usual[byte] = usual.get(byte, 0) + n
-    apart = sorted(sorted(usual, key=lambda b: (-usual[b], b))[:classes])
-    kept, known = set(ranked[:keep]), set(apart)
-    for tree in trees.values():
-        tree.counts = {c: {b: n for b, n in seen.items() if b in known} for c, seen in tree.counts.items() if c in kept and known.issuperset(c)}
-        tree.counts = {c: seen for c, seen in tree.counts.items() if seen or not c}
-    return apart
+
+def prune(tree: ContextTree, keep: int = CONTEXTS) -> ContextTree:
+    """Drop the rarest contexts of more than one byte; then the byte before stands for them."""
+    ranked = sorted(tree.counts, key=lambda c: (len(c) > 1, -sum(tree.counts[c].values()), c))
+    tree.counts = {c: tree.counts[c] for c in ranked[:keep]}
+    return tree
 
 
-def compile_trees(trees: dict[str, ContextTree], keep: int = MAX_CONTEXTS) -> CompiledTrees:
+def compile_trees(trees: dict[str, ContextTree], keep: int = CONTEXTS) -> CompiledTrees:
     langs = sorted(trees)
-    apart = prune(trees, min(keep, TABLE_BYTES // (4 * len(langs) * (MAX_CLASSES + 2))))
+    for tree in trees.values():
+        prune(tree, keep)
     order = next(iter(trees.values())).order
-    # class 0: before the text; 1: any other byte; 2...: the bytes that stay apart
+    apart = sorted({b for t in trees.values() for c, seen in t.counts.items() for b in (*c, *seen)})
     classes = np.ones(256, np.int64)
     classes[apart] = np.arange(len(apart)) + 2
     radix = len(apart) + 2
     contexts = sorted({c for t in trees.values() for c in t.counts}, key=lambda c: (len(c), c))
-    index = {c: i for i, c in enumerate(contexts)}
-    other = next((b for b in range(256) if b not in set(apart)), 255)
-    cost = np.empty((len(contexts), radix, len(langs)), np.float32)
-    for k, lang in enumerate(langs):
-        tree = trees[lang]
-        for context, i in index.items():
-            # suffixes are known before longer contexts: start from the shorter one's shares
-            seen, at = tree.counts.get(context), cost[i, :, k]
-            at[:] = cost[index_of_suffix(context, index), :, k] if context else 8.0
+    number = {c: i for i, c in enumerate(contexts)}
+    rows, cost = [], []
+    for lang in langs:
+        counts = trees[lang].counts
+        own = sorted(counts, key=lambda c: (len(c), c))
+        row = {c: i for i, c in enumerate(own)}
+        table = np.empty((len(own), radix), np.float32)
+        for context, i in row.items():
+            # suffixes come before longer contexts: start from the shorter one's costs, and an escape
+            seen, at = counts[context], table[i]
+            at[:] = table[row[_longest_suffix(context, row)]] if context else 8.0
             if seen:
                 total = sum(seen.values()) + len(seen)
                 at += np.float32(np.log2(total / len(seen)))
-                for byte, n in seen.items():
-                    at[classes[byte]] = np.log2(total / n)
+                at[classes[list(seen)]] = np.log2(total / np.fromiter(seen.values(), np.float64, len(seen)))
+        mapped = np.zeros(len(contexts), np.int32)
+        for context, i in number.items():
+            mapped[i] = row[context] if context in row else mapped[number[_longest_suffix(context, number)]]
+        rows.append(mapped)
+        cost.append(table)
     state = np.zeros(radix**order, np.int32)
-    for context, i in index.items():  # longer contexts come later and win
+    for context, i in number.items():  # longer contexts come later and win
         code = 0
         for byte in context:
-            code = code * radix + classes[byte]
-        step = radix ** len(context)
-        state.reshape(-1, step)[:, code] = i
-    assert classes[other] == 1 or len(apart) == 256
-    return CompiledTrees(langs, classes, state, cost, order)
+            code = code * radix + int(classes[byte])
+        state.reshape(-1, radix ** len(context))[:, code] = i
+    return CompiledTrees(langs, classes, state, rows, cost, order)
 
 
-def index_of_suffix(context: bytes, index: dict[bytes, int]) -> int:
-    """The longest proper suffix that is a known context."""
+def _longest_suffix(context: bytes, known: dict[bytes, int]) -> bytes:
+    """The longest proper suffix that is known."""
     while context:
         context = context[1:]
-        if context in index:
-            return index[context]
-    return index[b""]
+        if context in known:
+            break
+    return context
 
 
 def code_lengths(model: CompiledTrees, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(texts, languages) bits of the texts data[offsets[i]:offsets[i+1]] (uint8)."""
     out = np.zeros((len(offsets) - 1, len(model.langs)))
-    radix, order, size = int(model.cost.shape[1]), model.order, int(offsets[-1])
+    radix, order, size = model.radix, model.order, int(offsets[-1])
     for at in range(int(offsets[0]), size, BLOCK):
         end = min(at + BLOCK, size)
         back = max(at - order, 0)
@@ -184,12 +192,14 @@ def code_lengths(model: CompiledTrees, data: np.ndarray, offsets: np.ndarray) ->
                 inside = place - d >= own
                 fixed = fixed * radix + np.where(inside, model.classes[data[np.maximum(place - d, 0)]], 0)
             code[place - at] = fixed
-        # the class of "any other byte" ends a known context just as the start of a text does
-        bits = model.cost[model.state[code], symbol[at - back :]]
-        sums = np.concatenate([np.zeros((1, bits.shape[1])), np.cumsum(bits, axis=0, dtype=np.float64)])
+        # a byte that was never learnt ends a known context just as the start of a text does
+        state, last_byte = model.state[code], symbol[at - back :]
         lo = np.clip(offsets[first:last], at, end) - at
         hi = np.clip(offsets[first + 1 : last + 1], at, end) - at
-        out[first:last] += sums[hi] - sums[lo]
+        for k, (rows, cost) in enumerate(zip(model.rows, model.cost, strict=True)):
+            bits = cost.ravel()[rows[state] * radix + last_byte]
+            sums = np.concatenate([[0.0], np.cumsum(bits, dtype=np.float64)])
+            out[first:last, k] += sums[hi] - sums[lo]
     return out
 
 
@@ -197,30 +207,41 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, order: int = ORDER, docs_per_lang: int = TRAIN_DOCS, bytes_per_lang: int = TRAIN_BYTES) -> CompiledTrees | None:
+def learn(docs: DataFrame, order: int = ORDER, docs_per_lang: int = TRAIN_DOCS, bytes_per_lang: int = TRAIN_BYTES, contexts: int = CONTEXTS) -> dict[str, ContextTree]:
     """Trees of the languages of ``docs`` (doc_id, text, lang), from rows not held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.octet_length("text").alias("n"), F.xxhash64("doc_id", "text").alias("h")).where(F.col("n").between(1, bytes_per_lang))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not top:
-        return None
+    counts = stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "langs")
     # a share of the hash range that holds about twice the documents wanted; few rows are then ranked
-    shares = docs.sparkSession.createDataFrame([(r[0], min(1.0, 2 * docs_per_lang / r[1])) for r in top], "lang string, share double")
-    drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    share = F.least(F.lit(1.0), F.lit(2.0 * docs_per_lang) / F.col("rows"))
+    drawn = rows.join(counts.select("lang", share.alias("share")), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     by_hash = Window.partitionBy("lang").orderBy("h", "text")
     drawn = drawn.withColumn("nth", F.row_number().over(by_hash)).withColumn("so_far", F.sum("n").over(by_hash.rowsBetween(Window.unboundedPreceding, 0)))
-    texts: dict[str, list[bytes]] = {}
-    for lang, text in drawn.where((F.col("nth") <= docs_per_lang) & (F.col("so_far") <= bytes_per_lang)).select("lang", F.col("text").cast("binary")).toLocalIterator():
-        texts.setdefault(lang, []).append(bytes(text))
-    return compile_trees({lang: ContextTree(order).learn([b"\n".join(sorted(own))]) for lang, own in texts.items()}) if texts else None
+    sample = drawn.where((F.col("nth") <= docs_per_lang) & (F.col("so_far") <= bytes_per_lang)).select("lang", F.col("text").cast("binary").alias("text"))
+
+    def tree(group: pd.DataFrame) -> pd.DataFrame:
+        own = prune(ContextTree(order).learn([b"\n".join(sorted(map(bytes, group["text"])))]), contexts)
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "tree": [pickle.dumps(own.counts)]})
+
+    trees = {}
+    for lang, packed in sample.groupBy("lang").applyInPandas(tree, "lang string, tree binary").toLocalIterator():
+        trees[lang] = ContextTree(order)
+        trees[lang].counts = pickle.loads(bytes(packed))
+    return trees
+
+
+@lru_cache(maxsize=1)
+def _compiled(_model: str, packed: bytes) -> CompiledTrees:
+    """The tables of this process; the trees travel, they are smaller."""
+    return compile_trees(pickle.loads(packed))
 
 
-def predict(docs: DataFrame, model: CompiledTrees | None) -> DataFrame:
+def predict(docs: DataFrame, trees: dict[str, ContextTree] | None) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte of every row of (doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, pickle.dumps(trees)) if trees else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = _compiled(*held.value) if held.value else None
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             texts = pa.concat_arrays([texts])  # one buffer, offsets from its start
