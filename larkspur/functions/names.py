@@ -68,11 +68,17 @@ def strip_crate_prefix(name: Column) -> Column:
     return F.when(name.contains("::"), F.regexp_replace(name, r"^(<?)[^:]*::", "$1")).otherwise(name)
 
 
-def strip_generics(name: Column, depth: int = 12) -> Column:
-    """Without what angle brackets hold, nested up to ``depth``; an unclosed one drops the rest."""
-    for _ in range(depth):
-        name = F.regexp_replace(name, "<[^<>]*>", "")
-    return F.regexp_replace(F.regexp_replace(name, "(?s)<.*$", ""), ">", "")
+def strip_generics(name: Column) -> Column:
+    """Without what angle brackets hold, however deep; an unclosed one drops the rest."""
+    marks = F.regexp_extract_all(name, F.lit("([<>]|[^<>]+)"), F.lit(1))
+    none = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(at: Column, part: Column) -> Column:
+        depth = F.when(part == "<", at["depth"] + 1).when(part == ">", F.greatest(at["depth"] - 1, F.lit(0))).otherwise(at["depth"])
+        out = F.when((at["depth"] == 0) & ~part.isin("<", ">"), F.concat(at["out"], part)).otherwise(at["out"])
+        return F.struct(depth.alias("depth"), out.alias("out"))
+
+    return F.when(name.contains("<") | name.contains(">"), F.aggregate(marks, none, step)["out"]).otherwise(name)
 
 
 def _after_last_for(leaf: Column) -> Column:
@@ -120,6 +126,20 @@ def is_derive_generated(name: Column) -> Column:
     return out
 
 
+def is_test_fn(file: Column, name: Column) -> Column:
+    """A test by an extractor's rule: its folder, its name or its module's."""
+    return file.contains("/tests/") | file.contains("\\tests\\") | name.startswith("test_") | name.contains("::test_") | name.contains("::tests::")
+
+
+def disambiguate(display: Column, name: Column, signature: Column) -> Column:
+    """A display name of one segment with the type of the impl that the signature names, else by the full name."""
+    inside = F.substring_index(F.regexp_extract(signature, r"(?s)^.*?impl (.*)$", 1), ">::", 1)
+    named = signature.contains("impl ") & F.regexp_extract(signature, r"(?s)^.*?impl (.*)$", 1).contains(">::")
+    owner = last_segment(F.substring_index(inside, " for ", -1))
+    shown = shown_name(display, name)
+    return F.when(shown.contains("::"), shown).when(named, F.concat(owner, F.lit("::"), shown)).when(name.contains("::"), display_name(name)).otherwise(shown)
+
+
 def is_macro_name(name: Column) -> Column:
     out = name.endswith("::build")
     for mark in MACRO_MARKS:

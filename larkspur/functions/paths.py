@@ -66,6 +66,7 @@ def normalize_path(path: Column, root: str | None = None) -> Column:
 
 def crate_of(path: Column, manifest_name: str | None = None) -> Column:
     """The folder before the first /src/; src/... belongs to the manifest's package, else (root)."""
+    path = F.regexp_replace(path, r"\\", "/")
     before = F.regexp_extract(path, r"^(.*?)/src/", 1)
     own = F.lit(manifest_name or "(root)")
     return F.when(before != "", F.substring_index(before, "/", -1)).when(path.startswith("src/"), own).otherwise("(root)")

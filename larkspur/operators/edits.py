@@ -1,7 +1,7 @@
 """Edits of line tables (file, line_no from 1, text), planned relationally.
 
-An edit (file, op, start, end, body, seq) replaces, deletes, or inserts before or
-after a range of lines; all edits of all files are one plan: replaced and deleted
+An edit (file, op, start, end, body, seq) replaces, deletes, or inserts before, after
+or at a range of lines; all edits of all files are one plan: replaced and deleted
 lines are an anti join, inserted ones a union, and the new order is numbered per
 file.
 """
@@ -19,15 +19,45 @@ def to_lines(texts: DataFrame, file: str = "file", text: str = "text") -> DataFr
     return texts.select(F.col(file).alias("file"), F.posexplode(F.split(text, "\n")).alias("pos", "text")).select("file", (F.col("pos") + 1).alias("line_no"), "text")
 
 
+#: Names of operations by commands and manifests, and what they do.
+OPERATIONS = {"replace": "replace", "insert-before": "before", "insert-after": "after", "delete": "delete", "insert-at": "at", "delete-lines": "delete", "replace-lines": "replace"}
+
+
+def named_operations(plan: DataFrame, known: tuple[str, ...] = tuple(OPERATIONS)) -> DataFrame:
+    """``plan`` with op by :data:`OPERATIONS`; unknown names are refused."""
+    unknown = plan.where(~F.coalesce(F.col("op").isin(*known), F.lit(False))).select("op").distinct().limit(5).collect()
+    if unknown:
+        raise ValueError(f"unknown operations: {sorted(str(r.op) for r in unknown)}; expected {', '.join(known)}")
+    return plan.withColumn("op", F.element_at(F.create_map(*[F.lit(x) for pair in OPERATIONS.items() for x in pair]), F.col("op")))
+
+
+def refused(lines: DataFrame, edits: DataFrame) -> DataFrame:
+    """(file, op, start, end, reason) of edits that can't be made: a file that is not there, a
+    line under 1, a range that ends before it starts or starts past the file's end."""
+    last = lines.groupBy("file").agg(F.max("line_no").alias("n"))
+    ranged = F.col("op").isin("replace", "delete")
+    reason = (
+        F.when(F.col("n").isNull(), "no such file")
+        .when((F.col("start") < 1) | (F.col("end") < 1) | F.col("start").isNull() | F.col("end").isNull(), "lines count from 1")
+        .when(F.col("start") > F.col("end"), "the range ends before it starts")
+        .when(ranged & (F.col("start") > F.col("n")), "the range starts past the end")
+    )
+    return edits.join(last, "file", "left").withColumn("reason", reason).where("reason is not null").select("file", "op", "start", "end", "reason")
+
+
 def apply_edits(lines: DataFrame, edits: DataFrame) -> DataFrame:
-    """(file, line_no, text) after all edits, whose ranges mustn't cross.
+    """(file, line_no, text) after all edits, whose ranges mustn't cross; edits of
+    :func:`refused` change nothing.
 
     The end of a range is clamped to the file; before adds an empty line below its
-    body, after one above it; a body loses white space at its end."""
-    body = F.split(F.regexp_replace(F.coalesce("body", F.lit("")), r"\s+$", ""), "\n")
+    body, after one above it, at neither; a body loses white space at its end, and an
+    empty one has no line."""
+    bare = F.regexp_replace(F.coalesce("body", F.lit("")), r"\s+$", "")
+    body = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "\n"))
     body = F.when(F.col("op") == "before", F.concat(body, F.array(F.lit("")))).when(F.col("op") == "after", F.concat(F.array(F.lit("")), body)).otherwise(body)
     last = lines.groupBy("file").agg(F.max("line_no").alias("n"))
-    edits = edits.join(last, "file").withColumn("end", F.least("end", "n"))
+    edits = edits.join(last, "file").where("start >= 1 and start <= end and (start <= n or op not in ('replace', 'delete'))")
+    edits = edits.withColumns({"start": F.least("start", F.col("n") + 1), "end": F.least("end", "n")})
     gone = edits.where(F.col("op").isin("replace", "delete")).select("file", F.explode(F.sequence("start", "end")).alias("line_no"))
     kept = lines.join(gone, ["file", "line_no"], "left_anti").select("file", F.col("line_no").alias("at"), F.lit(1).alias("side"), F.lit(0).alias("seq"), F.lit(0).alias("pos"), "text")
     where = F.when(F.col("op") == "after", F.col("end")).otherwise(F.col("start"))
@@ -37,6 +67,15 @@ def apply_edits(lines: DataFrame, edits: DataFrame) -> DataFrame:
     return kept.unionByName(added).select("file", F.row_number().over(order).alias("line_no"), "text")
 
 
+def preview(lines: DataFrame, edits: DataFrame, shown: int = 3) -> DataFrame:
+    """(file, op, start, end, old, new) of what edits would do, the first lines of each: a dry run."""
+    hit = edits.join(lines, "file", "left").where(F.col("line_no").between(F.col("start"), F.least(F.col("end"), F.col("start") + shown - 1)) | F.col("line_no").isNull())
+    old = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
+    body = F.regexp_replace(F.coalesce("body", F.lit("")), r"\s+$", "")
+    new = F.when(body == "", F.array().cast("array<string>")).otherwise(F.slice(F.split(body, "\n"), 1, shown))
+    return hit.groupBy("file", "op", "start", "end", "seq", new.alias("new")).agg(old.alias("old")).select("file", "op", "start", "end", "old", "new")
+
+
 def crossing(edits: DataFrame) -> DataFrame:
     """Pairs of neighbouring edits of a file whose ranges cross."""
     order = Window.partitionBy("file").orderBy("start", "end", "seq")
@@ -63,6 +102,27 @@ def symbol_span(lines: DataFrame, name: str) -> DataFrame:
     return first.join(last, "file").join(ends, ["file", "start"], "left").select("file", "start", F.coalesce("end", "n").alias("end"))
 
 
+def with_attributes(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spans`` (file, start, end) that begin with the attribute and doc lines right above them."""
+    above = F.trim("text").rlike(r"^(#\[|#!\[|///|//!|@)")
+    before = lines.join(spans, "file").where("line_no < start")
+    stop = before.where(~above).groupBy("file", "start", "end").agg(F.max("line_no").alias("stop"))
+    found = spans.join(stop, ["file", "start", "end"], "left")
+    return found.select("file", F.least("start", F.coalesce("stop", F.lit(0)) + 1).alias("start"), "end")
+
+
+def original_visibility(text: Column) -> Column:
+    """The visibility an item's first line has, empty if none."""
+    return F.regexp_extract(text, r"^\s*(pub(?:\([^)]*\))?) ", 1)
+
+
+def crate_prefix(file: Column) -> Column:
+    """The module path of a file inside its crate: crate::a::b of src/a/b.rs and src/a/b/mod.rs."""
+    inside = F.regexp_replace(F.regexp_replace(F.regexp_replace(file, r"\\", "/"), r"^(.*/)?src/", ""), r"\.rs$", "")
+    module = F.regexp_replace(inside, r"(^|/)(mod|lib|main)$", "")
+    return F.when(module == "", "crate").otherwise(F.concat(F.lit("crate::"), F.replace(module, F.lit("/"), F.lit("::"))))
+
+
 def use_idents(use: Column) -> Column:
     """Names that a use line brings in: the last segments, those after as."""
     inside = F.regexp_replace(F.regexp_replace(use, r"^\s*use\s+", ""), r";\s*$", "")
@@ -124,29 +184,42 @@ def split_plan(lines: DataFrame, symbols: DataFrame, target: str) -> DataFrame:
     return body.unionByName(rest).unionByName(declared).select("file", F.row_number().over(order).alias("line_no"), "text")
 
 
-def partition_module(functions: DataFrame, edges: DataFrame, min_lines: int = 300) -> DataFrame:
-    """(idx, grp) of a module's functions (file, idx, is_pub, lines): public ones start
-    groups, a private one joins the single group that calls it, in order of idx;
-    groups under ``min_lines`` dissolve (null).  Sequential by definition: one task per file."""
+def partition_module(symbols: DataFrame, edges: DataFrame, min_lines: int = 300) -> DataFrame:
+    """(idx, grp) of a module's symbols (file, idx, is_pub, lines, and if it has types
+    also kind, name, text): public functions start groups; in one pass in order of idx a
+    private one joins the single group that has called it so far; a type joins the single
+    group whose bodies hold its name; groups under ``min_lines`` dissolve (null).
+    Sequential by definition: one task per file."""
+    import re
+
     import pandas as pd
 
-    callers = edges.join(functions.select(F.col("idx").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("idx")).agg(F.sort_array(F.collect_set("src")).alias("callers"))
+    for column, default in (("kind", "function"), ("name", ""), ("text", "")):
+        if column not in symbols.columns:
+            symbols = symbols.withColumn(column, F.lit(default))
+    callers = edges.join(symbols.select(F.col("idx").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("idx")).agg(F.sort_array(F.collect_set("src")).alias("callers"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
-        place = {i: i for i, pub in zip(group["idx"], group["is_pub"], strict=True) if pub}
-        changed = True
-        while changed:
-            changed = False
-            for i, own in zip(group["idx"], group["callers"], strict=True):
-                homes = {place[c] for c in (own if own is not None else []) if c in place}
-                if i not in place and len(homes) == 1:
-                    place[i], changed = homes.pop(), True
+        functions, types = group[group["kind"] == "function"], group[group["kind"].isin(["struct", "enum", "trait"])]
+        place = {i: i for i, pub in zip(functions["idx"], functions["is_pub"], strict=True) if pub}
+        for i, own in zip(functions["idx"], functions["callers"], strict=True):
+            homes = {place[c] for c in (own if own is not None else []) if c in place}
+            if i not in place and len(homes) == 1:
+                place[i] = homes.pop()
+        words: dict[int, set[str]] = {}
+        for i, text in zip(functions["idx"], functions["text"], strict=True):
+            if i in place:
+                words.setdefault(place[i], set()).update(re.findall(r"[A-Za-z0-9_]+", text or ""))
+        for i, name in zip(types["idx"], types["name"], strict=True):
+            homes = [g for g, used in words.items() if name and name.rpartition("::")[2] in used]
+            if len(homes) == 1:
+                place[i] = homes[0]
         lines = group.assign(grp=group["idx"].map(place)).groupby("grp")["lines"].sum()
         big = set(lines[lines >= min_lines].index)
         return pd.DataFrame({"idx": group["idx"], "grp": [place.get(i) if place.get(i) in big else None for i in group["idx"]]}).astype({"grp": "Int64"})
 
-    return functions.join(callers, "idx", "left").groupBy("file").applyInPandas(run, "idx long, grp long")
+    return symbols.join(callers, "idx", "left").groupBy("file").applyInPandas(run, "idx long, grp long")
 
 
 def _outside_strings(text: Column, change) -> Column:

@@ -17,7 +17,7 @@ from larkspur.plans.staging import stage
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = False) -> DataFrame:
     """(idx, depth) of every node within ``max_depth`` calls of the seeds (idx), which have depth 0."""
     near, far = ("dst", "src") if reverse else ("src", "dst")
-    hop = edges.select(F.col(near).alias("idx"), F.col(far).alias("next"))
+    hop = stage(edges.select(F.col(near).alias("idx"), F.col(far).alias("next")), "hop")
     levels = [stage(seeds.select("idx").distinct(), "frontier")]
     out = levels[0].withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
@@ -36,10 +36,12 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = Fals
 def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """(pos, idx) of one shortest path that ignores direction; ties go to the smallest
     parent, then to the smallest target.  No rows if there is none."""
-    hop = edges.select(F.col("src").alias("idx"), F.col("dst").alias("next")).unionByName(edges.select(F.col("dst").alias("idx"), F.col("src").alias("next"))).distinct()
+    edges = stage(edges.select("src", "dst"), "calls")
+    hop = stage(edges.select(F.col("src").alias("idx"), F.col("dst").alias("next")).unionByName(edges.select(F.col("dst").alias("idx"), F.col("src").alias("next"))).distinct(), "hop")
+    targets = stage(targets.select("idx").distinct(), "targets")
     levels = [stage(sources.select("idx").distinct().withColumn("parent", F.lit(None).cast("long")), "path")]
     while True:
-        hit = levels[-1].join(targets.select("idx").distinct(), "idx", "left_semi").agg(F.min("idx")).first()[0]
+        hit = levels[-1].join(targets, "idx", "left_semi").agg(F.min("idx")).first()[0]
         if hit is not None:
             path, at = [], hit
             for level in reversed(levels):  # one row a level
@@ -79,16 +81,19 @@ def clusters(chunks: DataFrame, edges: DataFrame, min_lines: int = 50) -> DataFr
     return grouped.groupBy("file", "component").agg(F.count(F.lit(1)).alias("members"), F.sum("lines").cast("long").alias("lines")).withColumn("split_candidate", F.col("lines") >= min_lines)
 
 
-def flow_tree(chunks: DataFrame, edges: DataFrame, root: int, max_depth: int) -> DataFrame:
-    """(pos, depth, idx, back) of the pre-order call tree from a root: a node is expanded
-    at its first visit only; tests and derived noise are left out.
+def flow_tree(chunks: DataFrame, edges: DataFrame, roots: int | list[int], max_depth: int) -> DataFrame:
+    """(pos, depth, idx, back) of the pre-order call tree from one or several roots: a node
+    is expanded at its first visit only, also where that is at the greatest depth; later
+    visits are back references.  Tests and derived noise are left out below the roots.
 
     Which visit is first depends on the whole walk, so the part of the graph within
     the depth, gathered by Spark, is walked in one place."""
-    spark = edges.sparkSession
-    near = bfs(edges, spark.createDataFrame([(root,)], "idx long"), max_depth)
-    shown = near.join(chunks.where(~F.col("is_test") & ~N.is_derived_noise(F.col("name"))), "idx", "left_semi").select("idx")
-    local = edges.select("src", "dst").join(shown.withColumnRenamed("idx", "src"), "src", "left_semi").join(shown.withColumnRenamed("idx", "dst"), "dst", "left_semi")
+    spark, roots = edges.sparkSession, [roots] if isinstance(roots, int) else list(roots)
+    start = spark.createDataFrame([(r,) for r in roots], "idx long")
+    edges = stage(edges.select("src", "dst"), "calls")
+    near = stage(bfs(edges, start, max(max_depth - 1, 0)).select("idx"), "near")
+    shown = chunks.where(~F.col("is_test") & ~N.is_derived_noise(F.col("name"))).select(F.col("idx").alias("dst"))
+    local = edges.join(near.withColumnRenamed("idx", "src"), "src", "left_semi").join(shown, "dst", "left_semi").distinct()
     gathered = local.agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("edges"))
 
     def walk(frames):
@@ -99,14 +104,39 @@ def flow_tree(chunks: DataFrame, edges: DataFrame, root: int, max_depth: int) ->
                 callees: dict[int, list[int]] = {}
                 for e in edges_:
                     callees.setdefault(e["src"], []).append(e["dst"])
-                rows, expanded, stack = [], set(), [(root, 0)]
-                while stack:
-                    node, depth = stack.pop()
-                    back = node in expanded
-                    rows.append((len(rows), depth, node, back))
-                    if not back and depth < max_depth:
-                        expanded.add(node)
-                        stack.extend((c, depth + 1) for c in reversed(callees.get(node, ())))
+                rows, met = [], set()
+                for root in roots:
+                    stack = [(root, 0)]
+                    while stack:
+                        node, depth = stack.pop()
+                        back = node in met and depth > 0
+                        rows.append((len(rows), depth, node, back))
+                        met.add(node)
+                        if not back and depth < max_depth:
+                            stack.extend((c, depth + 1) for c in reversed(callees.get(node, ())))
                 yield pd.DataFrame(rows, columns=["pos", "depth", "idx", "back"])
 
     return gathered.mapInPandas(walk, "pos int, depth int, idx long, back boolean")
+
+
+def render_tree(tree: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(pos, line) of a call tree as text: branches, file and lines, name, marks of tests and back references.
+
+    A tree is a report for one reader: its lines are drawn in one task."""
+    marks = F.concat(F.when(F.col("is_test"), " [test]").otherwise(""), F.when(F.col("back"), "  \u21a9").otherwise(""))
+    label = F.concat("file", N.line_suffix(F.col("start_line"), F.col("end_line")), F.lit("  "), N.shown_name(F.col("display_name"), F.col("name")), marks)
+    named = tree.join(chunks, "idx").select("pos", "depth", label.alias("label"))
+
+    def draw(frames):
+        import pandas as pd
+
+        rows = pd.concat(list(frames)).sort_values("pos", ascending=False)
+        lines, goes_on = [], set()  # depths at which a sibling follows
+        for pos, depth, label in rows.itertuples(index=False):
+            stem = "".join("\u2502   " if d in goes_on else "    " for d in range(1, depth))
+            arrow = ("  " + stem + ("\u251c" if depth in goes_on else "\u2514") + "\u2500\u2192 ") if depth else ""
+            lines.append((pos, arrow + label))
+            goes_on = {d for d in goes_on if d < depth} | {depth}
+        yield pd.DataFrame(lines[::-1], columns=["pos", "line"])
+
+    return named.coalesce(1).mapInPandas(draw, "pos int, line string")

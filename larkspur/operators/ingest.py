@@ -92,6 +92,25 @@ def to_chunks(raw: DataFrame) -> DataFrame:
     return numbered(rows, "file", "start_line", "end_line", "name")
 
 
+def uses_of_functions(uses: DataFrame, deps: DataFrame) -> DataFrame:
+    """(fn_name, fn_file, source, resolved): what each function needs of its file's use lines."""
+    lines = uses.select(F.col("file").alias("use_file"), F.col("line").alias("use_line"), "source", "resolved")
+    return deps.join(lines, ["use_file", "use_line"]).select("fn_name", "fn_file", "source", "resolved").distinct()
+
+
+def replace_files(old: DataFrame, new: DataFrame, touched: DataFrame) -> DataFrame:
+    """``new`` rows, and the old ones of files (file) that were not touched."""
+    return old.join(touched.select("file").distinct(), "file", "left_anti").select(new.columns).unionByName(new)
+
+
+def ingestible(raw: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Raw symbols to take in: of files given relatively, no one-line derived methods, and with
+    ``sources`` (file) of changed files only."""
+    kept = raw.where(~F.col("file").startswith("/") & ~F.col("file").rlike("^.:"))
+    kept = kept.where(~((F.col("start_line") == F.col("end_line")) & N.is_derived_noise(F.col("name"))) | F.col("start_line").isNull())
+    return kept.join(sources.select("file").distinct(), "file", "left_semi").select(raw.columns) if sources is not None else kept
+
+
 def nearest_manifest(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """(file, crate_name) by the manifest (dir, crate_name) in the nearest folder above."""
     parts = F.split("file", "/")

@@ -68,6 +68,18 @@ def coverage(files: DataFrame) -> DataFrame:
     return sums.withColumn("fn_pct", rate("fn_covered", "fn_count")).withColumn("line_pct", rate("line_covered", "line_count"))
 
 
+def coverage_with_total(files: DataFrame, totals: DataFrame) -> DataFrame:
+    """:func:`coverage` by crate and a row (total) of the document's own totals, which no filter of files changes."""
+    rate = lambda part, whole: F.round(F.try_divide(F.lit(100.0) * F.col(part), F.col(whole)), 1)
+    sums = totals.agg(*[F.sum(f"{what}.{n}").cast("long").alias(f"{short}_{n}") for what, short in (("functions", "fn"), ("lines", "line")) for n in ("count", "covered")])
+    total = sums.select(F.lit("(total)").alias("crate"), "*").withColumn("fn_pct", rate("fn_covered", "fn_count")).withColumn("line_pct", rate("line_covered", "line_count"))
+    return coverage(files).unionByName(total)
+
+
+def edge_totals(edges: DataFrame) -> DataFrame:
+    return edges.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("callers"), F.count_distinct("dst").alias("callees"))
+
+
 def dead_candidates(chunks: DataFrame, edges: DataFrame, include_pub: bool = False, file: str | None = None) -> DataFrame:
     """Functions in use that nothing calls, without generated, entry and trait ones."""
     name, signature = F.col("name"), F.coalesce("signature", F.lit(""))
@@ -165,9 +177,10 @@ def ranked_by_recent(chunks: DataFrame, recents: DataFrame, most: int = 30) -> D
 
 
 def methods_of(chunks: DataFrame, type_name: str) -> DataFrame:
-    """Functions whose owner is the type, generics aside."""
+    """Functions whose owner is the type, generics aside, or whose name has no owner and contains it."""
     leaf = type_name.lower().rpartition("::")[2].partition("<")[0]
-    return chunks.where((F.col("kind") == "function") & (N.strip_generics(N.owning_type(F.col("name"))) == leaf))
+    owner = N.strip_generics(N.owning_type(F.col("name")))
+    return chunks.where((F.col("kind") == "function") & F.when(owner.isNotNull(), owner == leaf).otherwise(F.lower("name").contains(leaf)))
 
 
 def summary(roles: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:
@@ -178,6 +191,35 @@ def summary(roles: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:
     return found.select("role", F.transform("x", lambda r: r["display_name"]).alias("names"), F.greatest(F.col("n") - top, F.lit(0)).alias("more"))
 
 
+def by_file(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(file, pairs, names) of pairs (a, b) by the first one's file, most pairs first."""
+    shown = lambda s: chunks.select(F.col("idx").alias(s), N.shown_name(F.col("display_name"), F.col("name")).alias(f"name_{s}"))
+    named = pairs.join(shown("a"), "a").join(shown("b"), "b").join(chunks.select(F.col("idx").alias("a"), "file"), "a")
+    text = F.concat("name_a", F.lit(" ~ "), "name_b")
+    file = F.when(F.col("file") == "", "(unknown)").otherwise(F.col("file"))
+    return named.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("pairs"), F.array_sort(F.collect_list(text)).alias("names")).orderBy(F.desc("pairs"), "file")
+
+
+def unresolved_calls(chunks: DataFrame, calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, call, line) of named calls (src, call, line) that say something and lead to no symbol: no edge
+    of the caller goes to one of that last segment."""
+    last = lambda c: F.substring_index(F.lower(N.last_segment(c)), ".", -1)
+    known = edges.join(chunks.select(F.col("idx").alias("dst"), last(F.col("name")).alias("leaf")), "dst").select("src", "leaf").distinct()
+    asked = calls.where(~N.is_noise(F.col("call"))).withColumn("leaf", last(F.col("call")))
+    return asked.join(known, ["src", "leaf"], "left_anti").groupBy("src", "call").agg(F.min("line").alias("line"))
+
+
+def impl_callees(impls: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(trait_idx, method, impls, callees): what the implementations of each method call, by the method's name."""
+    named = impls.join(chunks.select(F.col("idx").alias("impl_idx"), N.last_segment(F.col("name")).alias("method")), "impl_idx")
+    calls = named.join(edges.select(F.col("src").alias("impl_idx"), F.col("dst").alias("callee")), "impl_idx", "left")
+    return calls.groupBy("trait_idx", "method").agg(F.count_distinct("impl_idx").alias("impls"), F.count_distinct("callee").alias("callees"))
+
+
+def depth_tag(depth: Column) -> Column:
+    return F.when(depth <= 0, "").otherwise(F.concat(F.lit("d"), depth.cast("string")))
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     """One JSON text per row."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))

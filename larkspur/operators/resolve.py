@@ -2,8 +2,8 @@
 
 A cascade is a table of keys with a rank per kind of key.  The best rank of each
 call is found with ``min_by``, so a cascade is one join and one aggregate however
-many kinds of key it has, and a key many calls use is split by the adaptive skew
-join.
+many kinds of key it has.  What distinct texts resolve to is staged before all
+calls meet it: of two plain tables the adaptive skew join can split a hot name.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import names as N
 from larkspur.functions import paths as P
+from larkspur.plans.staging import stage
 
 
 def symbol_keys(chunks: DataFrame) -> DataFrame:
@@ -61,13 +62,19 @@ def resolve_by_name(calls: DataFrame, chunks: DataFrame) -> DataFrame:
     # calls of one text resolve alike: the cascade runs over distinct texts
     texts = calls.select("call").distinct()
     found = texts.select("call", F.explode(tries).alias("t")).select("call", "t.*").join(symbol_keys(chunks), ["space", "key"]).groupBy("call").agg(F.min_by("idx", "rank").alias("dst"))
-    return calls.join(found, "call").where("src <> dst").groupBy("src", "dst").agg(F.min("line").alias("line"))
+    return calls.join(stage(found, "found"), "call").where("src <> dst").groupBy("src", "dst").agg(F.min("line").alias("line"))
 
 
 def resolve_by_location(calls: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(src, line, callee_file, callee_line, dst): file in any case or as a suffix of
-    the other, line as given, else one more, else one less; of symbols that start on
-    one line the last wins."""
+    """(src, line, callee_file, callee_line, dst) by :func:`place_hits`."""
+    own = calls.select("src", "line", "callee_file", "callee_line", F.lower("callee_file").alias("place"))
+    return own.join(place_hits(calls, chunks), ["place", "callee_line"]).select("src", "line", "callee_file", "callee_line", "dst")
+
+
+def place_hits(calls: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(place, callee_line, dst) of the distinct places that calls (callee_file, callee_line) go to:
+    file in any case or as a suffix of the other, line as given, else one more, else
+    one less; of symbols that start on one line the last wins."""
     located = chunks.where("start_line is not null and not (start_line = 0 and end_line = 0)")
     starts = located.groupBy(F.lower("file").alias("file"), "start_line").agg(F.max("idx").alias("idx"))
     deltas = F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(d).alias("delta")) for r, d in enumerate((0, 1, -1))])
@@ -82,8 +89,7 @@ def resolve_by_location(calls: DataFrame, chunks: DataFrame) -> DataFrame:
     files = equal.where("equal is not null").select("place", F.col("equal").alias("file")).unionByName(suffix)
     tried = places.select("place", "callee_line", F.explode(deltas).alias("d")).select("place", "callee_line", "d.rank", (F.col("callee_line") + F.col("d.delta")).alias("start_line"))
     hits = tried.join(files, "place").join(starts, ["file", "start_line"]).groupBy("place", "callee_line").agg(F.min_by("idx", F.struct("file", "rank")).alias("dst"))
-    own = calls.select("src", "line", "callee_file", "callee_line", F.lower("callee_file").alias("place"))
-    return own.join(hits, ["place", "callee_line"]).select("src", "line", "callee_file", "callee_line", "dst")
+    return stage(hits, "hits")
 
 
 def name_keys(chunks: DataFrame) -> DataFrame:
@@ -116,21 +122,31 @@ def trait_fan_out(calls: DataFrame, chunks: DataFrame, column: str = "callee") -
     return calls.withColumn("key", key).join(trait_methods(chunks), "key").drop("key").withColumnRenamed("idx", "dst")
 
 
-def resolve_calls(calls: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(src, dst, line) of extractor calls (caller, caller_file, callee, callee_file,
+def resolve_incremental(stored: DataFrame, calls: DataFrame, chunks: DataFrame, changed: DataFrame) -> DataFrame:
+    """``stored`` edges (crate_name, src, dst, line) brought up to date: those of ``changed`` crates
+    (crate_name) are resolved again from their calls, by the one resolver that full runs use; those
+    of crates without calls go.  Numbers of symbols mustn't have changed for the others."""
+    again = changed.select("crate_name").distinct()
+    new = resolve_calls(calls.join(again, "crate_name", "left_semi"), chunks, ("crate_name",))
+    kept = stored.join(again, "crate_name", "left_anti").join(calls.select("crate_name").distinct(), "crate_name", "left_semi")
+    return kept.select("crate_name", "src", "dst", "line").unionByName(new.select("crate_name", "src", "dst", "line"))
+
+
+def resolve_calls(calls: DataFrame, chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, src, dst, line) of extractor calls (caller, caller_file, callee, callee_file,
     callee_line, line): callee by location, else name; unresolved ones and trait
     declarations fan out to implementations; of several callers one in the callee's
     root folder is taken, else the first."""
-    own = calls.withColumn("call", F.monotonically_increasing_id()) if "call" not in calls.columns else calls
-    place = own.select("call", F.col("call").alias("src"), "line", "callee_file", "callee_line")
-    by_place = resolve_by_location(place, chunks).select(F.col("src").alias("call"), F.col("dst").alias("by_place"))
-    by_name = resolve_mir_name(own, chunks).withColumnRenamed("dst", "by_name")
-    base = own.join(by_place, "call", "left").join(by_name, "callee", "left").withColumn("dst", F.coalesce("by_place", "by_name"))
+    calls = stage(calls, "calls")
+    own = calls.withColumn("place", F.lower("callee_file"))
+    by_place = place_hits(calls, chunks).withColumnRenamed("dst", "by_place")
+    by_name = stage(resolve_mir_name(own, chunks), "by_name").withColumnRenamed("dst", "by_name")
+    base = own.join(by_place, ["place", "callee_line"], "left").join(by_name, "callee", "left").withColumn("dst", F.coalesce("by_place", "by_name"))
     kinds = chunks.select(F.col("idx").alias("dst"), F.col("kind").alias("dst_kind"), F.col("file").alias("dst_file"))
     fan = trait_fan_out(base.join(kinds, "dst", "left").where("dst is null or dst_kind = 'trait'").drop("dst", "dst_kind", "dst_file"), chunks)
-    columns = ["call", "caller", "caller_file", "line", "dst"]
+    columns = ["caller", "caller_file", "line", "dst", *by]
     targets = base.where("dst is not null").select(columns).unionByName(fan.select(columns)).join(kinds, "dst")
-    return choose_callers(targets, chunks).where("src <> dst").groupBy("src", "dst").agg(F.min("line").alias("line"))
+    return choose_callers(targets, chunks).where("src <> dst").groupBy(*by, "src", "dst").agg(F.min("line").alias("line"))
 
 
 def choose_callers(targets: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -142,11 +158,12 @@ def choose_callers(targets: DataFrame, chunks: DataFrame) -> DataFrame:
     lower = N.strip_closure(F.lower("caller"))
     named = chunks.where("start_line is null or not (start_line = 0 and end_line = 0)").select(F.lower(N.strip_visibility(F.col("name"))).alias("key"), F.col("idx").alias("src"), F.col("file").alias("src_file"))
     tries = F.array(F.struct(F.lit(0).alias("rank"), lower.alias("key")), F.struct(F.lit(1).alias("rank"), N.after_first_segment(lower).alias("key")))
-    keyed = targets.withColumn("row", F.monotonically_increasing_id()).withColumn("t", F.explode(tries)).select("*", "t.*").drop("t")
-    # a row may meet many symbols of one name: the best is an aggregate, not a window
-    rank = F.struct("rank", (~F.col("src_file").eqNullSafe(F.col("caller_file"))).alias("elsewhere"), (P.first_folder(F.col("src_file")) != P.first_folder(F.col("dst_file"))).alias("far"), "src")
-    best = keyed.join(named, "key").groupBy("row").agg(F.min(rank).alias("best"), *[F.first(c).alias(c) for c in targets.columns])
-    return best.select(*targets.columns, F.col("best.src").alias("src"))
+    # calls of one caller to one root folder have one answer: the cascade runs over those
+    own = targets.withColumns({"_file": F.coalesce("caller_file", F.lit("")), "_root": F.coalesce(P.first_folder(F.col("dst_file")), F.lit(""))})
+    keyed = own.select("caller", "_file", "_root").distinct().withColumn("t", F.explode(tries)).select("caller", "_file", "_root", "t.*")
+    rank = F.struct("rank", (F.coalesce("src_file", F.lit("")) != F.col("_file")).alias("elsewhere"), (F.coalesce(P.first_folder(F.col("src_file")), F.lit("")) != F.col("_root")).alias("far"), "src")
+    best = stage(keyed.join(named, "key").groupBy("caller", "_file", "_root").agg(F.min(rank)["src"].alias("src")), "callers")
+    return own.join(best, ["caller", "_file", "_root"]).select(*targets.columns, "src")
 
 
 def resolve_type_refs(refs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -122,36 +122,29 @@ def recent_ranking(t: Tables) -> DataFrame:
     return reports.ranked_by_recent(t.chunks(), t.spark.createDataFrame(_RECENTS, "name string, ord int")).select("idx", "score")
 
 
+#: Symbols, and the customers as functions that no order calls.
 _DEAD = f"""
-d AS (SELECT c.*, {_CRATE} AS crate FROM chunks AS c
+every AS (SELECT idx, name, file, kind, start_line, end_line, is_test, signature, crate_name FROM chunks UNION ALL SELECT * FROM idle),
+d AS (SELECT c.*, {_CRATE} AS crate FROM every AS c
       WHERE kind = 'function' AND NOT {_TEST} AND NOT starts_with(coalesce(signature, ''), 'pub ')
-        AND NOT (coalesce(signature, '') = '' AND (SELECT count(*) FROM chunks AS o WHERE o.file = c.file AND o.start_line = c.start_line) >= 2)
-        AND idx NOT IN (SELECT dst FROM sparse))
+        AND NOT (coalesce(signature, '') = '' AND (SELECT count(*) FROM every AS o WHERE o.file = c.file AND o.start_line = c.start_line) >= 2)
+        AND idx NOT IN (SELECT dst FROM edges))
 """
 
 
-@query(f"WITH {_DEAD.strip()} SELECT crate, idx, name, file FROM d JOIN files USING (file) WHERE end_line <= n_lines")
-def dead_code(t: Tables) -> DataFrame:
-    return reports.dead_code(t.chunks(), t.sparse_edges(), t.files())
-
+def _every(t: Tables) -> DataFrame:
+    columns = ["idx", "name", "file", "kind", "start_line", "end_line", "is_test", "signature", "crate_name"]
+    return t.chunks().select(columns).unionByName(t.idle().select(columns))
 
-# Queries on the thin graph answer for its calls only; those named _whole answer for all calls.
-_DEAD_WHOLE = _DEAD.strip().replace("FROM sparse", "FROM edges")
 
-
-@query(f"WITH {_DEAD_WHOLE} SELECT crate, idx, name, file FROM d JOIN files USING (file) WHERE end_line <= n_lines")
-def dead_code_whole(t: Tables) -> DataFrame:
-    return reports.dead_code(t.chunks(), t.edges(), t.files())
+@query(f"WITH {_DEAD.strip()} SELECT crate, idx, name, file FROM d JOIN files USING (file) WHERE end_line <= n_lines")
+def dead_code(t: Tables) -> DataFrame:
+    return reports.dead_code(_every(t), t.edges(), t.files())
 
 
 @query(f"WITH {_DEAD.strip()} SELECT crate, count(*)::BIGINT AS dead, md5(string_agg(idx::VARCHAR, ',' ORDER BY idx)) AS members_md5 FROM d JOIN files USING (file) WHERE end_line <= n_lines GROUP BY 1")
 def dead_by_crate(t: Tables) -> DataFrame:
-    return _dead_by_crate(reports.dead_code(t.chunks(), t.sparse_edges(), t.files()))
-
-
-@query(f"WITH {_DEAD_WHOLE} SELECT crate, count(*)::BIGINT AS dead, md5(string_agg(idx::VARCHAR, ',' ORDER BY idx)) AS members_md5 FROM d JOIN files USING (file) WHERE end_line <= n_lines GROUP BY 1")
-def dead_by_crate_whole(t: Tables) -> DataFrame:
-    return _dead_by_crate(reports.dead_code(t.chunks(), t.edges(), t.files()))
+    return _dead_by_crate(reports.dead_code(_every(t), t.edges(), t.files()))
 
 
 def _dead_by_crate(found: DataFrame) -> DataFrame:
@@ -217,18 +210,18 @@ def parse_signatures(t: Tables) -> DataFrame:
     return t.chunks().where("signature is not null").select("idx", F.size(p).alias("n_params"), F.lit("vec").alias("leaf_of_lower"), N.leaf_type(p[0]["type"]).alias("first_leaf"), p[1]["type"].alias("second_type"), r.alias("return_type"), N.leaf_type(r).alias("return_leaf"))
 
 
-_NAMES = """(VALUES ('<foo::Bar as std::clone::Clone>::clone', 'x.clone'), ('<Foo as MyTrait>::do_stuff', 'self.process'), ('pub(crate) a::b', 'Config::load'), ('a::b::{closure#0}', 'Ok'),
-('Search for Engine<T>::run', 'y.z.unwrap_or'), ('HashMap<K, Vec<V>>::get', 'vec'), ('<geo::Leaf>', 'vecs')) AS v(name, call)"""
+_NAMES = """(VALUES ('<inn::Host as core::clone::Clone>::clone', 'jug.clone'), ('<Quill as Ink>::blot', 'self.pour'), ('pub(crate) a::b', 'Cellar::open'), ('a::b::{closure#0}', 'Ok'),
+('Serve for Inn<T>::run', 'jug.lid.unwrap_or'), ('Shelf<K, Row<V>>::take', 'vec'), ('<geo::Leaf>', 'vecs')) AS v(name, call)"""
 
 
 @query(
     """SELECT * FROM (VALUES
-    ('<foo::Bar as std::clone::Clone>::clone', 'Bar::clone', '<foo::Bar as std::clone::Clone>::clone', true, true, '::clone'),
-    ('<Foo as MyTrait>::do_stuff', 'Foo::do_stuff', '<Foo as MyTrait>::do_stuff', false, true, '::do_stuff'),
+    ('<inn::Host as core::clone::Clone>::clone', 'Host::clone', '<inn::Host as core::clone::Clone>::clone', true, true, '::clone'),
+    ('<Quill as Ink>::blot', 'Quill::blot', '<Quill as Ink>::blot', false, true, '::do_stuff'),
     ('pub(crate) a::b', 'b', 'a::b', false, false, 'pub(crate) a::b'),
     ('a::b::{closure#0}', '{closure#0}', 'a::b', false, true, 'a::b::{closure#0}'),
-    ('Search for Engine<T>::run', 'run', 'Search for Engine<T>::run', false, true, 'Search for Engine::run'),
-    ('HashMap<K, Vec<V>>::get', 'get', 'HashMap<K, Vec<V>>::get', false, true, 'HashMap::get'),
+    ('Serve for Inn<T>::run', 'run', 'Serve for Inn<T>::run', false, true, 'Serve for Inn::run'),
+    ('Shelf<K, Row<V>>::take', 'take', 'Shelf<K, Row<V>>::take', false, true, 'Shelf::take'),
     ('<geo::Leaf>', 'Leaf', '<geo::Leaf>', false, false, '')) AS v(name, shown, key, derived, noise, bare)""",
     views=False,
 )
@@ -388,59 +381,38 @@ def bfs_reverse_depth(t: Tables) -> DataFrame:
     return graph.bfs(t.edges(), seeds(t, 5, 7), 2, reverse=True)
 
 
-@query(
-    "WITH "
-    + _walk("dst", "src", "SELECT idx, 0 FROM chunks WHERE display_name = 'small_ring' AND idx % 100 < 10", 2, "sparse")
-    + f" SELECT idx, depth, {_TEST} AS test FROM w JOIN chunks USING (idx)"
-)
-def blast_symbol(t: Tables) -> DataFrame:
-    chunks = t.chunks()
-    named = resolve.resolve_symbol(chunks.where("idx % 100 < 10"), "small_ring")
-    return reports.blast(chunks, t.sparse_edges(), named, depth=1)
-
-
 @query("WITH " + _walk("dst", "src", "SELECT idx, 0 FROM chunks WHERE display_name = 'small_ring'", 2) + f" SELECT idx, depth, {_TEST} AS test FROM w JOIN chunks USING (idx)")
-def blast_symbol_whole(t: Tables) -> DataFrame:
+def blast_symbol(t: Tables) -> DataFrame:
     chunks = t.chunks()
     return reports.blast(chunks, t.edges(), resolve.resolve_symbol(chunks, "small_ring"), depth=1)
 
 
-@query("WITH " + _walk("dst", "src", "SELECT idx, 0 FROM access WHERE key = 'click::f3'", 2, "sparse") + f" SELECT count(*) FILTER (depth > 0 AND NOT {_TEST})::BIGINT AS prod, count(*) FILTER (depth > 0 AND {_TEST})::BIGINT AS tests FROM w JOIN chunks USING (idx)")
-def blast_field(t: Tables) -> DataFrame:
-    users = t.field_accesses().where(F.col("key") == "click::f3").select("idx")
-    return reports.blast_counts(reports.blast(t.chunks(), t.sparse_edges(), users))
-
-
 @query("WITH " + _walk("dst", "src", "SELECT idx, 0 FROM access WHERE key = 'click::f3'", 2) + f" SELECT count(*) FILTER (depth > 0 AND NOT {_TEST})::BIGINT AS prod, count(*) FILTER (depth > 0 AND {_TEST})::BIGINT AS tests FROM w JOIN chunks USING (idx)")
-def blast_field_whole(t: Tables) -> DataFrame:
+def blast_field(t: Tables) -> DataFrame:
     users = t.field_accesses().where(F.col("key") == "click::f3").select("idx")
     return reports.blast_counts(reports.blast(t.chunks(), t.edges(), users))
 
 
-@query("WITH " + _walk("dst", "src", "SELECT DISTINCT idx, 0 FROM access WHERE starts_with(key, 'signup::')", 2, "sparse") + f" SELECT idx, depth, {_TEST} AS test FROM w JOIN chunks USING (idx)")
+@query("WITH " + _walk("dst", "src", "SELECT DISTINCT idx, 0 FROM access WHERE starts_with(key, 'signup::')", 2) + f" SELECT idx, depth, {_TEST} AS test FROM w JOIN chunks USING (idx)")
 def blast_type(t: Tables) -> DataFrame:
     users = t.field_accesses().where(F.col("key").startswith("signup::")).select("idx")
-    return reports.blast(t.chunks(), t.sparse_edges(), users)
+    return reports.blast(t.chunks(), t.edges(), users)
 
 
-@query("WITH " + _walk("dst", "src", "SELECT DISTINCT idx, 0 FROM access WHERE starts_with(key, 'signup::')", 2) + f" SELECT idx, depth, {_TEST} AS test FROM w JOIN chunks USING (idx)")
-def blast_type_whole(t: Tables) -> DataFrame:
-    users = t.field_accesses().where(F.col("key").startswith("signup::")).select("idx")
-    return reports.blast(t.chunks(), t.edges(), users)
+_BOTH = "u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"
+
+
+def _joined(links: str, into: str) -> str:
+    """Components of symmetric links (a, b): a node takes the least label of its neighbours until none changes."""
+    return f"{into}(idx, c) USING KEY (idx) AS (SELECT DISTINCT a, a FROM {links} UNION SELECT me.idx, min(w.c) FROM {into} AS w JOIN {links} AS l ON l.b = w.idx JOIN recurring.{into} AS me ON me.idx = l.a WHERE w.c < me.c GROUP BY me.idx)"
 
 
-_BOTH = "u AS (SELECT src AS a, dst AS b FROM sparse UNION SELECT dst, src FROM sparse)"
 _ENDS = "(SELECT min(idx) AS lo, max(idx) AS hi FROM comp WHERE c = (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1))"
-_COMP = f"{_BOTH}, reach(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM reach AS r JOIN u ON u.a = r.b), comp AS (SELECT a AS idx, least(a, min(b)) AS c FROM reach GROUP BY a)"
+_COMP = f"{_BOTH}, {_joined('u', 'comp')}"
 
 
 @query(f"WITH {_COMP} SELECT idx AS node, c AS component FROM comp")
 def components(t: Tables) -> DataFrame:
-    return connected_components(t.sparse_edges())
-
-
-@query()
-def components_whole(t: Tables) -> DataFrame:
     return connected_components(t.edges())
 
 
@@ -456,13 +428,8 @@ _LEVELS = f"{_COMP}, ends AS {_ENDS}, lv(idx, depth) AS (SELECT lo, 0 FROM ends
 
 @query(f"WITH {_LEVELS} SELECT depth::BIGINT AS hops FROM least_ JOIN ends ON idx = hi")
 def trace_hops(t: Tables) -> DataFrame:
-    lo, hi = _ends(t.sparse_edges())
-    return graph.shortest_path(t.sparse_edges(), lo, hi).agg((F.count(F.lit(1)) - 1).alias("hops"))
-
-
-@query()
-def trace_hops_whole(t: Tables) -> DataFrame:
-    return graph.shortest_path(t.edges(), *_ends(t.edges())).agg((F.count(F.lit(1)) - 1).alias("hops"))
+    edges = stage(t.edges(), "edges")
+    return graph.shortest_path(edges, *_ends(edges)).agg((F.count(F.lit(1)) - 1).alias("hops"))
 
 
 @query(
@@ -472,58 +439,48 @@ def trace_hops_whole(t: Tables) -> DataFrame:
     SELECT depth::INTEGER AS pos, idx FROM back"""
 )
 def trace_path(t: Tables) -> DataFrame:
-    lo, hi = _ends(t.sparse_edges())
-    return graph.shortest_path(t.sparse_edges(), lo, hi)
+    edges = stage(t.edges(), "edges")
+    return graph.shortest_path(edges, *_ends(edges))
 
 
-@query()
-def trace_path_whole(t: Tables) -> DataFrame:
-    return graph.shortest_path(t.edges(), *_ends(t.edges()))
-
-
-_INNER = """f AS (SELECT idx, crate_name AS g, end_line - start_line + 1 AS n FROM chunks WHERE kind = 'function'),
-i AS (SELECT src AS a, dst AS b FROM sparse JOIN f AS x ON x.idx = src JOIN f AS y ON y.idx = dst WHERE x.g = y.g), i2 AS (SELECT a, b FROM i UNION SELECT b, a FROM i),
-ir(a, b) AS (SELECT a, b FROM i2 UNION SELECT r.a, i2.b FROM ir AS r JOIN i2 ON i2.a = r.b), ic AS (SELECT a AS idx, least(a, min(b)) AS c FROM ir GROUP BY a)"""
+_INNER = f"""f AS (SELECT idx, crate_name AS g, end_line - start_line + 1 AS n FROM chunks WHERE kind = 'function'),
+i AS (SELECT src AS a, dst AS b FROM edges JOIN f AS x ON x.idx = src JOIN f AS y ON y.idx = dst WHERE x.g = y.g), i2 AS (SELECT a, b FROM i UNION SELECT b, a FROM i), {_joined('i2', 'ic')}"""
 
 
 @query(f"WITH {_INNER} SELECT g AS file, coalesce(c, idx) AS component, count(*)::BIGINT AS members, sum(n)::BIGINT AS lines, sum(n) >= 50 AS split_candidate FROM f LEFT JOIN ic USING (idx) GROUP BY 1, 2")
 def cluster_candidates(t: Tables) -> DataFrame:
     # a crate stands for a file here, so that groups are large enough to split
-    return graph.clusters(t.chunks().withColumn("file", F.col("crate_name")), t.sparse_edges())
-
-
-@query()
-def cluster_candidates_whole(t: Tables) -> DataFrame:
     return graph.clusters(t.chunks().withColumn("file", F.col("crate_name")), t.edges())
 
 
-@query()
+@query("""
+WITH kids AS (SELECT src, list(dst ORDER BY dst DESC) AS ks FROM edges JOIN chunks ON idx = dst WHERE NOT is_test GROUP BY src),
+     walk(pos, depth, idx, back, stack, seen) AS (
+        SELECT 0, 0, 1::BIGINT, false, list_transform((SELECT ks FROM kids WHERE src = 1), lambda x: {'n': x, 'd': 1}), [1::BIGINT]
+        UNION ALL SELECT pos + 1, w.stack[-1].d, w.stack[-1].n, list_contains(w.seen, w.stack[-1].n),
+               w.stack[:-2] || CASE WHEN list_contains(w.seen, w.stack[-1].n) OR w.stack[-1].d >= 3 THEN [] ELSE list_transform(coalesce(k.ks, []), lambda x: {'n': x, 'd': w.stack[-1].d + 1}) END,
+               CASE WHEN list_contains(w.seen, w.stack[-1].n) THEN w.seen ELSE list_append(w.seen, w.stack[-1].n) END
+        FROM walk AS w LEFT JOIN kids AS k ON k.src = w.stack[-1].n WHERE len(w.stack) > 0)
+SELECT pos, depth, idx, back FROM walk
+""")
 def flow_tree(t: Tables) -> DataFrame:
     return graph.flow_tree(t.chunks(), t.edges(), 1, 3)
 
 
 @query(
     "WITH "
-    + _walk("dst", "src", "SELECT 1::BIGINT, 0", 2, "sparse2")
-    .replace("b(idx", "sparse2 AS (SELECT * FROM edges WHERE line <= 2), b(idx", 1)
+    + _walk("dst", "src", "SELECT 1::BIGINT, 0", 2)
     + ", "
-    + _walk("src", "dst", "SELECT 1::BIGINT, 0", 2, "sparse2").replace("b(", "d(", 1).replace("b.", "d.").replace("FROM b ", "FROM d ").replace("w AS", "v AS").replace("FROM b", "FROM d")
+    + _walk("src", "dst", "SELECT 1::BIGINT, 0", 2).replace("b(", "d(", 1).replace("b.", "d.").replace("FROM b ", "FROM d ").replace("w AS", "v AS").replace("FROM b", "FROM d")
     + f""",
     r AS (SELECT idx, 1 AS p, 'def' AS role, 0 AS depth FROM (SELECT 1::BIGINT AS idx)
           UNION ALL SELECT (idx * 3) % 2000, 3, 'type', 1 FROM chunks WHERE idx = 1
           UNION ALL SELECT idx, CASE WHEN {_TEST} THEN 6 ELSE 4 END, CASE WHEN {_TEST} THEN 'test' ELSE 'caller' END, depth FROM w JOIN chunks USING (idx) WHERE depth > 0
           UNION ALL SELECT idx, 5, 'callee', depth FROM v JOIN chunks USING (idx) WHERE depth > 0 AND NOT {_TEST}),
-    best AS (SELECT idx, min((p, depth, role)) AS x FROM r GROUP BY 1), site AS (SELECT src AS idx, min(line) AS line FROM sparse2 WHERE dst = 1 GROUP BY 1)
+    best AS (SELECT idx, min((p, depth, role)) AS x FROM r GROUP BY 1), site AS (SELECT src AS idx, min(line) AS line FROM edges WHERE dst = 1 GROUP BY 1)
     SELECT idx, x[3] AS role, x[2]::INTEGER AS depth, (CASE WHEN x[3] IN ('caller', 'test') THEN coalesce(line, 0) ELSE 0 END)::INTEGER AS call_line FROM best LEFT JOIN site USING (idx)"""
 )
 def context_roles(t: Tables) -> DataFrame:
-    refs = t.chunks().select(F.col("idx").alias("src"), ((F.col("idx") * 3) % 2000).alias("dst"))
-    none = t.spark.createDataFrame([], "trait_idx long, impl_idx long")
-    return reports.context(t.chunks(), t.edges().where("line <= 2"), refs, seeds(t, 1), none, depth=2)
-
-
-@query(ORACLE_SQL["context_roles"].replace("SELECT * FROM edges WHERE line <= 2", "SELECT * FROM edges"), views=False)
-def context_roles_whole(t: Tables) -> DataFrame:
     refs = t.chunks().select(F.col("idx").alias("src"), ((F.col("idx") * 3) % 2000).alias("dst"))
     none = t.spark.createDataFrame([], "trait_idx long, impl_idx long")
     return reports.context(t.chunks(), t.edges(), refs, seeds(t, 1), none, depth=2)
@@ -558,7 +515,7 @@ def _texts(t: Tables) -> DataFrame:
 
 
 def _signatures(t: Tables) -> DataFrame:
-    return similarity.minhash(similarity.features(similarity.code_tokens(_texts(t))))
+    return stage(similarity.minhash(_texts(t)), "signatures")
 
 
 @query(f"WITH {_TOKENS.strip()} SELECT doc_id AS idx, count(*)::BIGINT AS tokens, count(DISTINCT token)::BIGINT AS kinds, count(*) FILTER (token = '$N')::BIGINT AS numbers, min(token) AS first_token FROM tk GROUP BY 1")
@@ -569,7 +526,7 @@ def code_tokens(t: Tables) -> DataFrame:
 
 @query(f"WITH {_TOKENS.strip()} SELECT doc_id AS idx, count(*)::BIGINT AS features, min(feature) AS least, max(feature) AS most FROM ft WHERE feature IS NOT NULL GROUP BY 1")
 def token_bigrams(t: Tables) -> DataFrame:
-    found = similarity.features(similarity.code_tokens(_texts(t)))
+    found = similarity.text_features(_texts(t))
     return found.groupBy("idx").agg(F.count(F.lit(1)).alias("features"), F.min("feature").alias("least"), F.max("feature").alias("most"))
 
 
@@ -583,10 +540,9 @@ def minhash_signature(t: Tables) -> DataFrame:
     return _signatures(t).select("idx", F.md5(F.array_join(F.transform(s, lambda x: x.cast("string")), ",")).alias("signature_md5"), s[0].alias("first"))
 
 
-_PAIRS = f"""{_SIGNED}, rp AS (SELECT s, min(idx) AS idx FROM sg GROUP BY 1), bk AS (SELECT idx, generate_subscripts(s, 1) AS p, unnest(s) AS v FROM rp)"""
-
-
-@query(f"WITH {_PAIRS} SELECT a.idx AS a, b.idx AS b, count(*)::INTEGER AS matches FROM bk AS a JOIN bk AS b ON a.p = b.p AND a.v = b.v AND a.idx < b.idx GROUP BY 1, 2 HAVING count(*) >= 32")
+@query(f"""WITH {_SIGNED}, cl AS (SELECT idx, s, min(idx) OVER (PARTITION BY s) AS class FROM sg), bk AS (SELECT idx, class, generate_subscripts(s, 1) AS p, unnest(s) AS v FROM cl),
+pr AS (SELECT a.idx AS a, b.idx AS b, any_value(a.class) AS ca, any_value(b.class) AS cb, count(*)::INTEGER AS matches FROM bk AS a JOIN bk AS b ON a.p = b.p AND a.v = b.v AND a.idx < b.idx GROUP BY 1, 2 HAVING count(*) >= 32)
+SELECT a, b, matches FROM pr WHERE a = ca AND (b = cb OR ca = cb)""")
 def minhash_pairs(t: Tables) -> DataFrame:
     return similarity.minhash_pairs(_signatures(t), 0.5)
 
@@ -604,76 +560,63 @@ def _hashed(t: Tables) -> DataFrame:
     return c.select("idx", "file", "start_line", "end_line", hashed.alias("hash"))
 
 
-@query()
+_HASHED = "hh AS (SELECT idx, file, start_line AS s, end_line AS e, CASE WHEN coalesce(signature, '') = '' THEN md5(chr(10) || kind || chr(10) || name || chr(10) || (end_line - start_line + 1) || chr(10) || md5('')) ELSE md5(regexp_replace(signature, 'n: u[0-9]+', 'n') || chr(10) || kind) END AS hash FROM chunks)"
+
+
+@query(f"""WITH {_HASHED}, m AS (SELECT hash, file, list({{'i': idx, 's': s, 'e': e}} ORDER BY e - s DESC, idx) AS ms FROM hh GROUP BY 1, 2),
+k AS (SELECT hash, unnest(list_transform(list_reduce(ms[2:], lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: y.s <= x.e AND x.s <= y.e)) = 0 THEN list_append(kept, x) ELSE kept END, [ms[1]]), lambda x: x.i)) AS idx FROM m)
+SELECT hash, count(*)::BIGINT AS size, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS members FROM k GROUP BY 1 HAVING count(*) > 1""")
 def ast_hash_groups(t: Tables) -> DataFrame:
     groups = similarity.hash_groups(_hashed(t))
     return groups.select("hash", "size", F.array_join(F.transform("members", lambda i: i.cast("string")), ",").alias("members"))
 
 
-_HASHED = "hh AS (SELECT idx, CASE WHEN coalesce(signature, '') = '' THEN md5(chr(10) || kind || chr(10) || name || chr(10) || (end_line - start_line + 1) || chr(10) || md5('')) ELSE md5(regexp_replace(signature, 'n: u[0-9]+', 'n') || chr(10) || kind) END AS hash FROM chunks)"
-
-
 @query(f"WITH {_HASHED} SELECT idx, hash FROM hh")
 def structure_hashes(t: Tables) -> DataFrame:
     return _hashed(t).select("idx", "hash")
 
 
-def _clone_chunks(t: Tables, hashed: Column | None = None) -> DataFrame:
-    hashed = F.md5(F.substring("text", 1, 40)) if hashed is None else hashed
+def _clone_chunks(t: Tables) -> DataFrame:
+    hashed = similarity.body_digest(F.col("text"))
     return t.raw("documents").select(F.col("doc_id").alias("idx"), "source", "n_chars", "text").select("idx", F.col("source").alias("file"), (F.col("n_chars") % 1000).cast("int").alias("start_line"), (F.col("n_chars") % 1000 + 20).cast("int").alias("end_line"), hashed.alias("hash"))
 
 
-_UNIFIED = f"""{_SIGNED}, cc AS (SELECT doc_id AS idx, source AS file, (n_chars % 1000)::INTEGER AS s, (n_chars % 1000 + 20)::INTEGER AS e, md5(text[1:40]) AS hash FROM documents),
-rp AS (SELECT s, min(idx) AS idx FROM sg GROUP BY 1), bk AS (SELECT idx, generate_subscripts(s, 1) AS p, unnest(s) AS v FROM rp),
-cand AS (SELECT a.idx AS a, b.idx AS b FROM bk AS a JOIN bk AS b ON a.p = b.p AND a.v = b.v AND a.idx < b.idx GROUP BY 1, 2 HAVING count(*) >= 20
-         UNION SELECT f.m, cc.idx FROM cc JOIN (SELECT hash, min(idx) AS m FROM cc GROUP BY 1) AS f USING (hash) WHERE cc.idx <> f.m),
-sc AS (SELECT c.a, c.b, coalesce(len(list_filter(list_zip(x.s, y.s), lambda z: z[1] = z[2])) / 64.0::DOUBLE, 0.0::DOUBLE) AS jaccard, p.hash = q.hash AS same_hash
-       FROM cand AS c JOIN cc AS p ON p.idx = c.a JOIN cc AS q ON q.idx = c.b LEFT JOIN sg AS x ON x.idx = c.a LEFT JOIN sg AS y ON y.idx = c.b
-       WHERE NOT (p.file = q.file AND p.s <= q.e AND q.s <= p.e)),
-un AS (SELECT *, CASE WHEN same_hash THEN greatest(1.0::DOUBLE, jaccard) ELSE jaccard END AS score FROM sc)"""
-
-
-@query(f"WITH {_UNIFIED} SELECT a, b, jaccard, same_hash, score, CASE WHEN same_hash AND jaccard >= 0.5 THEN 'AST+Token' WHEN same_hash THEN 'AST' WHEN jaccard >= 0.5 THEN 'Token' ELSE 'Weak' END AS tag FROM un WHERE score >= 0.4")
+@query()
 def unified_dupes(t: Tables) -> DataFrame:
     rows = _clone_chunks(t)
-    return similarity.unified_pairs(rows, _signatures(t), rows.select("idx", "hash"), 0.4)
+    return similarity.unified_classes(rows, _signatures(t), rows.select("idx", "hash"), 0.4)
 
 
-@query()
-def unified_dupes_whole(t: Tables) -> DataFrame:
-    rows = _clone_chunks(t, similarity.body_digest(F.col("text")))
-    return similarity.unified_classes(rows, stage(_signatures(t), "signatures"), rows.select("idx", "hash"), 0.4)
+@query("WITH o AS (SELECT a.idx AS a, b.idx AS b, a.start_line AS s1, a.end_line AS e1, b.start_line AS s2, b.end_line AS e2 FROM chunks AS a JOIN chunks AS b ON b.idx = a.idx + 1 OR b.idx = a.idx + 3) SELECT a, b FROM o WHERE NOT (s1 <= e2 AND s2 <= e1)")
+def dupe_overlap_filter(t: Tables) -> DataFrame:
+    # a symbol with the first and the third after it, taken for one file's
+    c = t.chunks().select("idx", F.lit("f").alias("file"), "start_line", "end_line")
+    pairs = c.select(F.col("idx").alias("a"), F.explode(F.array(F.col("idx") + 1, F.col("idx") + 3)).alias("b"))
+    return similarity.apart(pairs, c)
 
 
-@query("WITH o AS (SELECT a.idx AS a, b.idx AS b, a.start_line AS s1, a.end_line AS e1, b.start_line AS s2, b.end_line AS e2 FROM chunks AS a JOIN chunks AS b USING (file) WHERE a.idx < b.idx AND a.kind = 'struct' AND b.kind = 'struct') SELECT a, b FROM o WHERE NOT (s1 <= e2 AND s2 <= e1)")
-def dupe_overlap_filter(t: Tables) -> DataFrame:
-    c = t.chunks().where("kind = 'struct'")
-    a = c.select("file", F.col("idx").alias("a"), F.col("start_line").alias("s1"), F.col("end_line").alias("e1"))
-    b = c.select("file", F.col("idx").alias("b"), F.col("start_line").alias("s2"), F.col("end_line").alias("e2"))
-    return a.join(b, "file").where("a < b").where(~similarity.overlaps(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))).select("a", "b")
+@query()
+def dupe_analysis(t: Tables) -> DataFrame:
+    # a document is the text of the symbol of its number
+    pairs = stage(QUERIES["unified_dupes"](t.spark, t.sf_dir).select("a", "b"), "pairs")
+    return similarity.analyze_pairs(pairs, t.edges(), t.chunks())
 
 
 @query(f"""
-WITH p AS (SELECT idx AS a, idx + 1 AS b FROM chunks WHERE idx % 10 = 0 AND idx + 1 IN (SELECT idx FROM chunks)),
-     cs AS (SELECT src AS idx, list(DISTINCT dst) AS s FROM sparse GROUP BY 1), rs AS (SELECT dst AS idx, list(DISTINCT src) AS s FROM sparse GROUP BY 1),
+WITH p AS (SELECT idx AS a, idx + 1 AS b FROM chunks WHERE idx + 1 IN (SELECT idx FROM chunks)),
+     cs AS (SELECT src AS idx, list(DISTINCT dst) AS s FROM edges GROUP BY 1), rs AS (SELECT dst AS idx, list(DISTINCT src) AS s FROM edges GROUP BY 1),
      j AS (SELECT a, b, coalesce(ca.s, []) AS ca, coalesce(cb.s, []) AS cb, coalesce(ra.s, []) AS ra, coalesce(rb.s, []) AS rb FROM p LEFT JOIN cs AS ca ON ca.idx = a LEFT JOIN cs AS cb ON cb.idx = b LEFT JOIN rs AS ra ON ra.idx = a LEFT JOIN rs AS rb ON rb.idx = b),
      k AS (SELECT a, b, CASE WHEN len(list_distinct(ca || cb)) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(ca, cb))::DOUBLE / len(list_distinct(ca || cb)) END AS callee_jaccard,
                   CASE WHEN len(list_distinct(ra || rb)) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(ra, rb))::DOUBLE / len(list_distinct(ra || rb)) END AS caller_jaccard FROM j),
-     o AS (SELECT a, b, e.src AS n FROM p JOIN sparse AS e ON e.dst IN (a, b)), o2 AS (SELECT a, b, n FROM o UNION SELECT a, b, e.src FROM o JOIN sparse AS e ON e.dst = o.n),
+     o AS (SELECT a, b, e.src AS n FROM p JOIN edges AS e ON e.dst IN (a, b)), o2 AS (SELECT a, b, n FROM o UNION SELECT a, b, e.src FROM o JOIN edges AS e ON e.dst = o.n),
      c AS (SELECT a, b, count(*) FILTER (NOT {_TEST}) AS prod, count(*) FILTER ({_TEST}) AS tests FROM o2 JOIN chunks ON idx = n WHERE n <> a AND n <> b GROUP BY 1, 2)
 SELECT k.*, coalesce(prod, 0)::BIGINT AS prod, coalesce(tests, 0)::BIGINT AS tests, CASE WHEN callee_jaccard = 1 THEN 'SAFE TO MERGE' WHEN callee_jaccard >= 0.5 THEN 'REVIEW NEEDED' ELSE 'DIFFERENT LOGIC' END AS verdict FROM k LEFT JOIN c USING (a, b)
 """)
-def dupe_analysis(t: Tables) -> DataFrame:
+def pair_verdicts(t: Tables) -> DataFrame:
+    # every symbol with the one after it
     c = t.chunks()
-    pairs = c.where("idx % 10 = 0").select(F.col("idx").alias("a"), (F.col("idx") + 1).alias("b")).join(c.select(F.col("idx").alias("b")), "b", "left_semi").select("a", "b")
-    return similarity.analyze_pairs(pairs, t.sparse_edges(), c)
-
-
-@query()
-def dupe_analysis_whole(t: Tables) -> DataFrame:
-    # a document is the text of the symbol of its number
-    pairs = stage(QUERIES["unified_dupes_whole"](t.spark, t.sf_dir).select("a", "b"), "pairs")
-    return similarity.analyze_pairs(pairs, t.edges(), t.chunks())
+    pairs = c.select(F.col("idx").alias("a"), (F.col("idx") + 1).alias("b")).join(c.select(F.col("idx").alias("b")), "b", "left_semi").select("a", "b")
+    return similarity.analyze_pairs(pairs, stage(t.edges(), "edges"), c)
 
 
 # ---- ingest ----------------------------------------------------------------
@@ -729,16 +672,10 @@ def missing_crates(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT p.file, p.line, p.idx, min((s.end_line - s.start_line, s.name))[2] AS name FROM (SELECT file, start_line + 5 AS line, idx FROM chunks WHERE idx % 3 = 0) AS p
+SELECT p.file, p.line, p.idx, min((s.end_line - s.start_line, s.name))[2] AS name FROM (SELECT file, start_line + 5 AS line, idx FROM chunks) AS p
 JOIN chunks AS s ON s.file = p.file AND s.start_line <= p.line AND p.line <= s.end_line GROUP BY 1, 2, 3
 """)
 def span_interval_join(t: Tables) -> DataFrame:
-    c = t.chunks()
-    return ingest.span_join(c.where("idx % 3 = 0").select("file", (F.col("start_line") + 5).alias("line"), "idx"), c)
-
-
-@query(ORACLE_SQL["span_interval_join"].replace(" FROM chunks WHERE idx % 3 = 0)", " FROM chunks)"), views=False)
-def span_interval_join_whole(t: Tables) -> DataFrame:
     c = t.chunks()
     return ingest.span_join(c.select("file", (F.col("start_line") + 5).alias("line"), "idx"), c)
 
@@ -778,16 +715,28 @@ def symbol_span(t: Tables) -> DataFrame:
     return edits.symbol_span(t.spark.sql(f"SELECT * FROM {_SOURCE}"), "main")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('a.rs', 1, 'mod main_;'), ('a.rs', 2, 'pub use main_::*;'), ('a.rs', 3, 'use std::fmt;'), ('a.rs', 4, 'use std::io::{Read, Write as W};'), ('a.rs', 5, 'pub use x::Y;'), ('a.rs', 6, 'use q::*;'), ('a.rs', 7, ''),
+('a/main_.rs', 1, 'use std::fmt;'), ('a/main_.rs', 2, 'use std::io::{Read, Write as W};'), ('a/main_.rs', 3, 'fn main() {'), ('a/main_.rs', 4, '    fmt::x(W);'), ('a/main_.rs', 5, '}')) AS v(file, line_no, text)""", views=False)
 def split_plan(t: Tables) -> DataFrame:
     lines = t.spark.sql(f"SELECT * FROM {_SOURCE}").where("file = 'a.rs'")
     return edits.split_plan(lines, edits.symbol_span(lines, "main"), "a/main_.rs")
 
 
-@query()
+@query("""
+WITH f AS (SELECT crate_name AS file, idx, starts_with(coalesce(signature, ''), 'pub ') AS is_pub, end_line - start_line + 1 AS n FROM chunks WHERE kind = 'function'),
+     pr AS (SELECT file, idx, row_number() OVER (PARTITION BY file ORDER BY idx) AS k FROM f WHERE NOT is_pub),
+     ca AS (SELECT DISTINCT b.idx, a.idx AS caller FROM edges JOIN f AS a ON a.idx = src JOIN f AS b ON b.idx = dst WHERE a.file = b.file),
+     g(idx, grp, k) USING KEY (idx) AS (
+        SELECT idx, idx, 0::BIGINT FROM f WHERE is_pub
+        UNION SELECT pr.idx, CASE WHEN count(DISTINCT w.grp) = 1 THEN min(w.grp) END, pr.k
+              FROM pr LEFT JOIN ca ON ca.idx = pr.idx LEFT JOIN recurring.g AS w ON w.idx = ca.caller
+              WHERE pr.k = (SELECT max(k) + 1 FROM recurring.g) GROUP BY pr.idx, pr.k),
+     big AS (SELECT grp FROM g JOIN f USING (idx) GROUP BY 1 HAVING sum(n) >= 30)
+SELECT f.idx, CASE WHEN grp IN (SELECT grp FROM big) THEN grp ELSE -1 END AS grp FROM f JOIN g USING (idx)
+""")
 def module_partition(t: Tables) -> DataFrame:
     functions = t.chunks().where("kind = 'function'").select(F.col("crate_name").alias("file"), "idx", F.coalesce(F.col("signature").startswith("pub "), F.lit(False)).alias("is_pub"), (F.col("end_line") - F.col("start_line") + 1).alias("lines"))
-    return edits.partition_module(functions, t.edges(), 30)
+    return edits.partition_module(functions, t.edges(), 30).withColumn("grp", F.coalesce("grp", F.lit(-1)))
 
 
 # ---- streams ---------------------------------------------------------------

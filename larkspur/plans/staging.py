@@ -1,13 +1,16 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
-``spark.checkpoint.dir`` names that folder; only where the session has none
-(tests, a laptop) is a local one made.  A staged table cuts lineage, survives
+``spark.checkpoint.dir`` names that folder.  Where the session has none, a local
+master gets a temporary one, which goes with the process, and a cluster one in the
+warehouse, which all machines see.  A staged table cuts lineage, survives
 the loss of any executor, and gives the planner exact sizes.
 """
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
-        found = tempfile.mkdtemp(prefix="larkspur-")
+        if spark.sparkContext.master.startswith("local"):
+            found = tempfile.mkdtemp(prefix="larkspur-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
+        else:
+            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/larkspur-{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -40,6 +47,12 @@ def stage_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files make fewer tasks than there are: for small inputs of much work a row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_staged(spark: SparkSession, path: str) -> None:
     """Delete a staged table that nothing will read again."""
     jvm = spark.sparkContext._jvm

@@ -37,6 +37,13 @@ def coverage_json(spark: SparkSession, path: str) -> DataFrame:
     return files.select("f.filename", "f.summary.functions", "f.summary.lines")
 
 
+def coverage_totals(spark: SparkSession, path: str) -> DataFrame:
+    """(functions, lines) of a coverage export as the document itself totals them."""
+    schema = f"data array<struct<totals:struct<functions:{_COUNTS},lines:{_COUNTS}>>>"
+    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    return doc.select(F.explode("data").alias("d")).select("d.totals.functions", "d.totals.lines")
+
+
 def scan_files(spark: SparkSession, folder: str, exclude: tuple[str, ...] = (), content: bool = False) -> DataFrame:
     """(path, mtime, size[, hash, content]) of the code files under a folder."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
@@ -46,6 +53,25 @@ def scan_files(spark: SparkSession, folder: str, exclude: tuple[str, ...] = (),
     return rows.where(P.is_code_file(F.col("path")) & ~P.is_skipped(F.col("path"), exclude))
 
 
+def scan_files_fast(spark: SparkSession, folder: str, exclude: tuple[str, ...] = (), content: bool = False) -> DataFrame:
+    """As :func:`scan_files`, of a git work tree only what git lists (ignored files stay out);
+    without git or its listing every file."""
+    import subprocess
+
+    try:
+        listed = subprocess.run(["git", "-C", folder, "ls-files", "-z", "--cached", "--others", "--exclude-standard"], capture_output=True, check=True).stdout.decode()
+    except (OSError, subprocess.CalledProcessError):
+        listed = ""
+    names = [(n,) for n in listed.split("\0") if n]
+    if not names:
+        return scan_files(spark, folder, exclude, content)
+    return scan_files(spark, folder, (), content).join(spark.createDataFrame(names, "path string").distinct(), "path", "left_semi")
+
+
+def crate_names(edges: DataFrame) -> DataFrame:
+    return edges.select("crate_name").distinct()
+
+
 def language_summary(files: DataFrame) -> DataFrame:
     return files.groupBy(P.language(F.col("path")).alias("language")).agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "language")
 
@@ -89,12 +115,21 @@ class SqliteReader(DataSourceReader):
 
         return sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
 
+    def _columns(self, db) -> set[str]:
+        return {row[1] for row in db.execute(f'PRAGMA table_info("{self.options["table"]}")')}
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        with self._connect() as db:
+            there = self._columns(db)
         for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1:
+            # SQLite would take the name of a column that the file lacks for a text
+            column = getattr(f, "attribute", ())
+            if len(column) != 1 or column[0] not in there:
+                yield f
+            elif isinstance(f, EqualTo):
                 self.clauses.append(f'"{f.attribute[0]}" = ?')
                 self.values.append(f.value)
-            elif isinstance(f, In) and len(f.attribute) == 1:
+            elif isinstance(f, In):
                 self.clauses.append(f'"{f.attribute[0]}" IN ({",".join("?" * len(f.value))})')
                 self.values.extend(f.value)
             else:
@@ -109,7 +144,7 @@ class SqliteReader(DataSourceReader):
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         with self._connect() as db:
-            there = {row[1] for row in db.execute(f'PRAGMA table_info("{self.options["table"]}")')}
+            there = self._columns(db)
             # a column that an older file lacks reads as empty text
             columns = ", ".join(f'"{f.name}"' if f.name in there else "''" for f in self.schema.fields)
             where = " AND ".join(["rowid >= ? AND rowid < ?", *self.clauses])
@@ -129,6 +164,8 @@ class SqliteSource(DataSource):
         return SqliteReader(schema, self.options)
 
 
+RAW_USES = "file string, line int, source string, resolved string, crate_name string"
+RAW_USE_DEPS = "fn_name string, fn_file string, use_file string, use_line int, crate_name string"
 RAW_CHUNKS = "name string, file string, kind string, start_line int, end_line int, signature string, visibility string, is_test boolean, body string, calls string, type_refs string, crate_name string, field_accesses string"
 RAW_EDGES = "caller string, caller_file string, caller_kind string, callee string, callee_file string, callee_start_line int, line int, is_local boolean, crate_name string"
 

@@ -32,8 +32,13 @@ WHERE dst IS NOT NULL AND src <> dst
 GROUP BY src, dst
 """
 
-#: A thin graph of many components: only returned lines of large quantity.
-SPARSE_EDGES = EDGES.replace("FROM lineitem)", "FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)")
+#: Functions that no order calls: customers, in the files and crates of the symbols.
+IDLE = """
+SELECT 1000000000 + c_custkey AS idx, c_mktsegment || '::idle::' || c_name AS name, c.file AS file, 'function' AS kind,
+       c.start_line AS start_line, CAST(c.start_line + c_custkey % 40 AS INT) AS end_line, c_custkey % 11 = 0 AS is_test,
+       CASE WHEN c_custkey % 3 = 0 THEN 'pub fn ' ELSE 'fn ' END || lower(c_mktsegment) AS signature, c.crate_name AS crate_name
+FROM customer JOIN chunks AS c ON c.idx = 1 + c_custkey % 2000
+"""
 
 #: Calls by name: what each edge's caller says it calls, as a full name, a short name or with a receiver.
 NAMED_CALLS = """
@@ -68,7 +73,7 @@ FROM documents WHERE doc_id % 13 <> 4
 
 def project(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
     """Run one of the projections over the named frames."""
-    text = sql
+    text = sql.replace("{", "{{").replace("}", "}}")
     for name in views:
         for word in ("FROM ", "JOIN "):
             text = text.replace(f"{word}{name} ", f"{word}{{{name}}} ").replace(f"{word}{name}\n", f"{word}{{{name}}}\n").replace(f"{word}{name})", f"{word}{{{name}}})")
@@ -90,8 +95,8 @@ class Tables:
     def edges(self) -> DataFrame:
         return project(self.spark, EDGES, lineitem=self.raw("lineitem"))
 
-    def sparse_edges(self) -> DataFrame:
-        return project(self.spark, SPARSE_EDGES, lineitem=self.raw("lineitem"))
+    def idle(self) -> DataFrame:
+        return project(self.spark, IDLE, customer=self.raw("customer"), chunks=self.chunks())
 
     def named_calls(self) -> DataFrame:
         return project(self.spark, NAMED_CALLS, edges=self.edges(), chunks=self.chunks())
@@ -113,5 +118,5 @@ class Tables:
 
 
 #: The projections as common table expressions of an oracle.
-ORACLE_VIEWS = f"""chunks AS ({CHUNKS}), edges AS ({EDGES}), sparse AS ({SPARSE_EDGES}), named AS ({NAMED_CALLS}), located AS ({LOCATED_CALLS}), files AS ({FILES}),
+ORACLE_VIEWS = f"""chunks AS ({CHUNKS}), edges AS ({EDGES}), idle AS ({IDLE}), named AS ({NAMED_CALLS}), located AS ({LOCATED_CALLS}), files AS ({FILES}),
 access AS (SELECT DISTINCT * FROM ({FIELD_ACCESSES})), old_files AS ({FILE_INDEX}), new_files AS ({FILES_NOW})"""

@@ -1,5 +1,8 @@
 """The command surface over a small project, and the store."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from larkspur import api
@@ -47,7 +50,9 @@ def test_commands(spark):
     assert p.cluster("a.rs").first().members == 2
     assert {r.alias for r in p.aliases().collect()} == {"[A]", "[A1]"}
     assert p.dupes(mode="ast").count() == 0
-    assert p.dupes().count() == 0  # equal bodies are one class
+    same = sorted(i[n] for n in ("run", "help", "lonely", "check"))
+    assert sorted(tuple(r) for r in p.dupes().collect()) == [(same[0], x, 64) for x in same[1:]]  # equal bodies
+    assert {r.file: r.pairs for r in p.dupes_by_file().collect()} == {"crates/demo/src/a.rs": 3}
     assert p.split_module("crates/demo/src/a.rs", 1).where("target like '%mod.rs'").count() == 2
 
 
@@ -59,9 +64,53 @@ def test_line_commands(spark):
     assert text(p.edit_symbol("delete", "go")) == ["use x::Y;", "fn on() {}"]
     assert text(p.clean_imports()) == ["fn go() {", "}", "fn on() {}"]
     assert text(p.create_file("b.rs", "1\n2")) == ["1", "2"]
+    with pytest.raises(ValueError, match="exists"):
+        p.create_file("a.rs", "1")
+    assert text(p.delete_lines("a.rs", 2, 99)) == ["use x::Y;"]
+    assert text(p.insert_at("a.rs", 99, "end\n")) == ["use x::Y;", "fn go() {", "}", "fn on() {}", "end"]
+    assert text(p.replace_lines("a.rs", 2, 3, "fn a() {}")) == ["use x::Y;", "fn a() {}", "fn on() {}"]
+    assert text(p.edit_symbol("insert-before", "go", "// top")) == ["use x::Y;", "// top", "", "fn go() {", "}", "fn on() {}"]
+    assert text(p.edit_symbol("insert-after", "go", "// end")) == ["use x::Y;", "fn go() {", "}", "", "// end", "fn on() {}"]
+    for bad in (lambda: p.delete_lines("a.rs", 5, 6), lambda: p.delete_lines("a.rs", 0, 1), lambda: p.delete_lines("a.rs", 3, 2), lambda: p.delete_lines("z.rs", 1, 1), lambda: p.edit_symbol("before", "go", "x"), lambda: p.locate("nothing")):
+        with pytest.raises(ValueError):
+            bad()
     assert text(p.split("go", "a/g.rs"))[:2] == ["mod g;", "pub use g::*;"]
 
 
+def test_manifest_and_attributes(spark, tmp_path):
+    p, _ = project(spark)
+    p.lines = edits.to_lines(spark.createDataFrame([("k/a.rs", "/// says\n#[inline]\nfn go() {\n}"), ("k/b.rs", "fn on() {}\nlast")], "file string, text string"))
+    assert [tuple(r) for r in p.locate("m::go").collect()] == [("k/a.rs", 1, 4)]
+    (tmp_path / "body").write_text("fn off() {}\n")
+    manifest = tmp_path / "m.json"
+    manifest.write_text(json.dumps([{"op": "delete", "symbol": "go"}, {"op": "replace", "symbol": "on", "file": "b.rs", "body_file": str(tmp_path / "body")}]))
+    assert [(r.file, r.text) for r in sorted(p.run_manifest(str(manifest)).collect())] == [("k/b.rs", "fn off() {}"), ("k/b.rs", "last")]
+    assert {(r.file, tuple(r.new)) for r in p.run_manifest(str(manifest), dry_run=True).collect()} == {("k/a.rs", ()), ("k/b.rs", ("fn off() {}",))}
+    manifest.write_text(json.dumps([{"op": "insert-at", "symbol": "go"}]))
+    with pytest.raises(ValueError, match="unknown operation"):
+        p.run_manifest(str(manifest))
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "locked"))
+    with store.writing(), pytest.raises(TimeoutError), store.writing(wait=0.2):
+        pass
+    with store.writing(wait=0.2):
+        store.put("t", spark.range(3))
+        store.put("t", store.get("t").where("id > 0"))
+    assert sorted(r.id for r in store.get("t").collect()) == [1, 2]
+
+
+def test_scan_leaves_out_what_git_ignores(spark, tmp_path):
+    import subprocess
+
+    for name, text in {"a.rs": "x", "b.rs": "y", ".gitignore": "b.rs\n", "c.md": ""}.items():
+        (tmp_path / name).write_text(text)
+    assert {r.path for r in connectors.scan_files_fast(spark, str(tmp_path)).collect()} == {"a.rs", "b.rs"}
+    subprocess.run(["git", "-C", str(tmp_path), "init", "-q"], check=True)
+    assert {r.path for r in connectors.scan_files_fast(spark, str(tmp_path)).collect()} == {"a.rs"}
+
+
 def test_text_rules(spark):
     row = spark.range(1).select(
         edits.fix_paths(F.lit('super::a("super::b", x_super::c, super::d)'), "super", "crate::m").alias("p"),

@@ -83,6 +83,16 @@ def test_flow_tree_marks_back_references(spark):
     assert [(r.depth, r.idx, r.back) for r in sorted(tree.collect())] == [(0, 0, False), (1, 1, False), (2, 2, False), (3, 0, True), (1, 2, True)]
 
 
+def test_flow_tree_first_visit_at_the_bound_counts(spark):
+    chunks = spark.createDataFrame([(i, f"f{i}", f"f{i}", "a.rs", i, i, i == 2) for i in range(6)], "idx long, name string, display_name string, file string, start_line int, end_line int, is_test boolean")
+    tree = graph.flow_tree(chunks, edges(spark, (0, 1), (0, 3), (1, 3), (3, 4), (2, 0)), 0, 2)
+    assert [(r.depth, r.idx, r.back) for r in sorted(tree.collect())] == [(0, 0, False), (1, 1, False), (2, 3, False), (1, 3, True)]
+    several = graph.flow_tree(chunks, edges(spark, (0, 1), (2, 0)), [2, 0], 3)  # a root may be a test, and met before
+    assert [(r.depth, r.idx, r.back) for r in sorted(several.collect())] == [(0, 2, False), (1, 0, False), (2, 1, False), (0, 0, False), (1, 1, True)]
+    lines = [r.line for r in sorted(graph.render_tree(tree, chunks).collect())]
+    assert lines == ["a.rs:0-0  f0", "  ├─→ a.rs:1-1  f1", "  │   └─→ a.rs:3-3  f3", "  └─→ a.rs:3-3  f3  ↩"]
+
+
 def test_clusters(spark):
     chunks = spark.createDataFrame([(i, "a.rs" if i < 4 else "b.rs", "function", 1, 10) for i in range(6)], "idx long, file string, kind string, start_line int, end_line int")
     found = {(r.file, r.component): (r.members, r.lines, r.split_candidate) for r in graph.clusters(chunks, edges(spark, (0, 1), (1, 2), (3, 4)), 25).collect()}

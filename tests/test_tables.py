@@ -86,6 +86,14 @@ def test_partition_module(spark):
     assert {r.idx: r.grp for r in edits.partition_module(functions, edges, 10).collect()} == {1: 1, 2: 1, 3: 1, 4: None, 5: None}
 
 
+def test_partition_takes_one_pass_and_places_types(spark):
+    rows = [("m", 1, True, 9, "function", "m::a", "Jug::new()"), ("m", 2, False, 9, "function", "m::b", ""), ("m", 3, False, 9, "function", "m::c", "Cup"), ("m", 4, False, 3, "struct", "m::Jug", ""), ("m", 5, False, 3, "enum", "m::Cup", ""), ("m", 6, True, 9, "function", "m::d", "Cup")]
+    symbols = spark.createDataFrame(rows, "file string, idx long, is_pub boolean, lines int, kind string, name string, text string")
+    edges = spark.createDataFrame([(1, 3), (3, 2)], "src long, dst long")
+    # 2 is called by 3, which has no group yet; Cup is used by two groups
+    assert {r.idx: r.grp for r in edits.partition_module(symbols, edges, 5).collect()} == {1: 1, 2: None, 3: 1, 4: 1, 5: None, 6: 6}
+
+
 def test_code_tokens_block_comments(spark):
     text = "/* open\ninside word\n*/ after // not cut\nlet x = 12; // gone\n#[attr]\n/* one */ dropped\nlast"
     df = similarity.code_tokens(spark.createDataFrame([(1, text)], "idx long, text string"))
@@ -134,6 +142,7 @@ def test_sqlite_source_pushes_filters(spark, tmp_path):
     assert df.count() == 100
     got = df.where(F.col("crate_name") == "a").collect()
     assert len(got) == 50 and all(r.field_accesses == "" and r.is_local is False for r in got)
+    assert df.where(F.col("field_accesses") == "").count() == 100 and df.where(F.col("field_accesses").isin("x", "y")).count() == 0
 
 
 def test_scan_files(spark, tmp_path):

@@ -22,6 +22,7 @@ def sf(spark, tmp_path_factory):
     spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_quantity double").write.parquet(f"{base}/lineitem.parquet")
     events = [(2, 3, "click"), (4, 3, "signup")]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{base}/events.parquet")
+    spark.createDataFrame([(i, "BUILDING", f"c{i}") for i in range(1, 9)], "c_custkey long, c_mktsegment string, c_name string").write.parquet(f"{base}/customer.parquet")
     text = " ".join(f"w{i}" for i in range(40))
     docs = [(i, text if i in (2, 11) else f"{i}", f"s{i}", 9) for i in range(1, 31)]
     spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").write.parquet(f"{base}/documents.parquet")
@@ -33,23 +34,22 @@ def run(spark, sf, name):
 
 
 def test_components_and_traces(spark, sf):
-    found = {r.node: r.component for r in run(spark, sf, "components_whole").collect()}
+    found = {r.node: r.component for r in run(spark, sf, "components").collect()}
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 12: 10, 13: 10, 14: 10, 20: 20, 21: 20, 50: 50, 51: 50}
-    assert [r.idx for r in sorted(run(spark, sf, "trace_path_whole").collect())] == [10, 11, 12, 13, 14]
-    assert run(spark, sf, "trace_hops_whole").first().hops == 4
-    crate = {r.component: r.members for r in run(spark, sf, "cluster_candidates_whole").where("file = 'eco'").collect()}
+    assert [r.idx for r in sorted(run(spark, sf, "trace_path").collect())] == [10, 11, 12, 13, 14]
+    assert run(spark, sf, "trace_hops").first().hops == 4
+    crate = {r.component: r.members for r in run(spark, sf, "cluster_candidates").where("file = 'eco'").collect()}
     # functions are 0 to 5 modulo 10; those of 0 or 5 modulo 5 have no crate
     assert (crate[1], crate[11], crate[21], crate.get(2)) == (4, 4, 1, None)
 
 
 def test_dead_and_blast(spark, sf):
     called = {b for _, b in CALLS} | {50}
-    thin = {r.idx for r in run(spark, sf, "dead_code").collect()}
-    whole = {r.idx for r in run(spark, sf, "dead_code_whole").collect()}
-    assert whole == thin - called and thin & called
-    assert run(spark, sf, "dead_by_crate_whole").agg({"dead": "sum"}).first()[0] == len(whole)
-    assert {(r.idx, r.depth) for r in run(spark, sf, "blast_type_whole").collect()} == {(4, 0), (3, 1), (2, 2)}
-    counts = run(spark, sf, "blast_field_whole").first()
+    whole = {r.idx for r in run(spark, sf, "dead_code").collect()}
+    assert whole and not whole & called and 1_000_000_001 in whole
+    assert run(spark, sf, "dead_by_crate").agg({"dead": "sum"}).first()[0] == len(whole)
+    assert {(r.idx, r.depth) for r in run(spark, sf, "blast_type").collect()} == {(4, 0), (3, 1), (2, 2)}
+    counts = run(spark, sf, "blast_field").first()
     assert (counts.prod, counts.tests) == (1, 0)
 
 
@@ -59,7 +59,7 @@ def test_module_partition_follows_all_calls(spark, sf):
 
 
 def test_blast_of_every_symbol_of_a_name(spark, sf):
-    assert {(r.idx, r.depth) for r in run(spark, sf, "blast_symbol_whole").collect()} == {(50, 0), (51, 1)}
+    assert {(r.idx, r.depth) for r in run(spark, sf, "blast_symbol").collect()} == {(50, 0), (51, 1)}
 
 
 def test_entry_starts_from_every_seed(spark):
@@ -108,7 +108,7 @@ def test_dupes_report_copies(spark):
 
     p, ids = project(spark)
     same = {ids[n] for n in ("run", "help", "lonely", "check")}
-    assert {x for r in p.dupes(copies=True).collect() for x in (r.a, r.b)} == same
+    assert {x for r in p.dupes().collect() for x in (r.a, r.b)} == same
     assert {x for r in p.dupes(mode="all").collect() for x in (r.a, r.b)} == same
 
 
@@ -118,19 +118,19 @@ def test_unified_dupes_hash_whole_texts(spark, tmp_path):
     texts = [opening + words(1), opening + words(2), words(3) + "\nlast", "// a comment first\n" + words(3) + "\nlast"]
     docs = [(i, x, f"s{i}", len(x)) for i, x in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {(r.a, r.b, r.same_hash) for r in run(spark, str(tmp_path), "unified_dupes_whole").collect()} == {(2, 3, True)}
+    assert {(r.a, r.b, r.same_hash) for r in run(spark, str(tmp_path), "unified_dupes").collect()} == {(2, 3, True)}
 
 
 def test_context_follows_calls_at_any_line(spark, sf):
-    assert {(r.idx, r.role, r.depth) for r in run(spark, sf, "context_roles_whole").collect()} == {(1, "def", 0), (2, "callee", 1), (3, "type", 1)}
+    assert {(r.idx, r.role, r.depth) for r in run(spark, sf, "context_roles").collect()} == {(1, "def", 0), (2, "callee", 1), (3, "type", 1)}
 
 
 def test_duplicates_found_are_analysed_over_all_calls(spark, sf):
-    assert [tuple(r) for r in run(spark, sf, "dupe_analysis_whole").collect()] == [(2, 11, 0.0, 0.0, 2, 0, "DIFFERENT LOGIC")]
+    assert [tuple(r) for r in run(spark, sf, "dupe_analysis").collect()] == [(2, 11, 0.0, 0.0, 2, 0, "DIFFERENT LOGIC")]
 
 
 def test_every_point_is_placed(spark, sf):
-    assert {r.idx for r in run(spark, sf, "span_interval_join_whole").collect()} == {*range(1, 31), 50, 51}
+    assert {r.idx for r in run(spark, sf, "span_interval_join").collect()} == {*range(1, 31), 50, 51}
 
 
 def test_traces_have_no_limit(spark):
