@@ -73,7 +73,7 @@ def _cut(doc_ids: list[int | None], ids: Iterable[np.ndarray], capacity: int) ->
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
     path = tokenizer_path or default_path()
 
@@ -85,9 +85,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
             at = 0
             while at < len(texts):
                 read = int(bytes_to[at - 1]) if at else 0
-                end = max(at + 1, int(np.searchsorted(bytes_to, read + BLOCK_CHARS, side="right")))
+                end = max(at + 1, int(np.searchsorted(bytes_to, read + block_chars, side="right")))
                 yield _cut(doc_ids[at:end], encoder.block(texts.slice(at, end - at)), capacity)
                 at = end
+                pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECE)
 
@@ -156,6 +157,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, items:
     return every.mapInArrow(place, f"{_PIECE}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Pieces of ``docs`` with their place in the sequences."""
-    return pack(stage(token_pieces(docs, tokenizer_path, capacity, cache_words), "pieces"), capacity)
+    return pack(stage(token_pieces(docs, tokenizer_path, capacity, cache_words, block_chars), "pieces"), capacity)

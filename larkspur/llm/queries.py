@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import lines, preferences, topk
+from larkspur.llm import lines, preferences, substrings, topk
 from larkspur.llm.language import identify
 from larkspur.llm.media import store_payloads
 from larkspur.llm.mixing import mix_sources
@@ -64,4 +64,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_language": op1_language, "op2_media": op2_media, "op3_preferences": op3_preferences, "op4_topk": op4_topk, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 
-ORACLE_SQL = {"op3_preferences": preferences.ORACLE, "op4_topk": topk.ORACLE, "op7_lines": lines.ORACLE}
+ORACLE_SQL = {"op3_preferences": preferences.ORACLE, "op4_topk": topk.ORACLE, "op7_lines": lines.ORACLE, "op8_substrings": substrings.ORACLE}

@@ -185,7 +185,8 @@ def _texts_with_seeds(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame
     own = rows.where(F.size("twice") > 0).select((F.col("x").bitwiseXOR(F.lit(1))).alias("x"), F.explode("twice").alias("seed"))
     seeds = rows.select("x", F.explode("seeds").alias("seed"))
     shared = seeds.unionByName(own).groupBy("seed").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("seed")
-    hits = seeds.join(shared, "seed").groupBy("x").agg(F.collect_set("seed").alias("seeds"))
+    # staged, so that of two plain tables the join can split a seed that very many rows have
+    hits = seeds.join(stage(shared, "shared"), "seed").groupBy("x").agg(F.collect_set("seed").alias("seeds"))
     one = rows.where(F.col("n_words") >= width).groupBy("t1", "t2").agg(F.min(F.struct(_row_id(), "x")).alias("r")).select("r.rid", "r.x")
     texts = docs.select(_row_id(), "x", "text").join(one.join(hits, "x"), ["x", "rid"])
     return texts.select(F.monotonically_increasing_id().alias("mid"), "text", "seeds")
@@ -230,7 +231,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed_words: int = SEED_W
     places = verified.select(*place("loc"), "windows").unionByName(verified.select(*place("src"), "windows").distinct())
     found = _removals(texts, places, width)
     changed = stage(found if with_text else found.drop("kept"), "removals").dropDuplicates(["t1", "t2"])
-    copied = rows.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"))
+    copied = stage(rows.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies")), "copied")
     everywhere = (F.col("copies") > 1) & (F.col("n_words") >= width)
     joined = rows.select("doc_id", "t1", "t2", "n_words", "sha").join(copied, ["t1", "t2"]).join(changed, ["t1", "t2"], "left")
     out = [
@@ -242,3 +243,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed_words: int = SEED_W
     if with_text:
         out.append(F.when(everywhere, F.lit("")).otherwise(F.col("kept").cast("string")).alias("kept"))
     return joined.select(*out)
+
+
+ORACLE = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+     e AS (SELECT r, i, md5(array_to_string(ws[i:i + {WIDTH - 1}], ' ')) AS h FROM (SELECT r, ws, unnest(range(1, len(ws) - {WIDTH - 2})) AS i FROM w)),
+     c AS (SELECT DISTINCT r, i + k AS p FROM e JOIN (SELECT h FROM e GROUP BY 1 HAVING count(*) > 1) USING (h), range({WIDTH}) AS t(k)),
+     g AS (SELECT r, list(p) AS gone FROM c GROUP BY 1),
+     a AS (SELECT doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN g USING (r))
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256 FROM a
+"""

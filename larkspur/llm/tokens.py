@@ -170,4 +170,4 @@ def _grown(array: np.ndarray, size: int) -> np.ndarray:
 @lru_cache(maxsize=1)
 def word_ids(path: str, room: int = CACHE_WORDS) -> WordIds:
     """The encoder of this process: tasks of one worker share its tables."""
-    return WordIds(path, room)
+    return WordIds(path, room, min(room, CACHE_PIECES))
