@@ -7,7 +7,7 @@ that were fitted without its fold, so that a later model learns from them what
 they are worth on texts that were not seen.
 
 Learning takes a bounded sample: ``TRAIN_DOCS`` documents of those that have a
-label, by a hash of their id.  Their words are counted by category in Spark, the ``FEATURES`` words
+label, by a hash of their id; of several rows of an id the least text teaches.  Their words are counted by category in Spark, the ``FEATURES`` words
 most telling by chi-square are kept, and only the positions of those words in the
 sampled documents come to the driver.  Prediction reads whole texts.
 
@@ -148,12 +148,13 @@ def learn(docs: DataFrame, labels: DataFrame, chain: dict[str, Column] | None =
     if not total:
         return None
     drawn = known.where(F.col("h") < min(1.0, 1.3 * train_docs / total) * (1 << 30)).orderBy("h", "doc_id").limit(train_docs)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").select("h", "text", *names)
-    # an id may stand on many rows
-    sample = stage(rows.orderBy("h", "text").limit(train_docs), "labelled")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
+    # an id may stand on many rows: one of them teaches; dealt over all cores, so that no task gets the whole sample
+    one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in ("h", *names)])
+    sample = stage(one.select("h", "text", *names).repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism)), "labelled")
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             found = [sorted(words_of(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), *batch.columns[1:]], ["words", *batch.schema.names[1:]])
 
@@ -196,8 +197,11 @@ def score(docs: DataFrame, chain: Chain | None, decisive: str = "toxic", thresho
         chain = held.value
         at = {w: i for i, w in enumerate(chain.words)}
         for part in texts:
-            rows = [np.array([at[w] for w in words_of(t) & at.keys()], np.int64) for t in part]
-            yield pd.DataFrame(chain.probabilities(chain.base([np.sort(r) for r in rows])), columns=new)
+            out = [np.zeros((0, len(new)))]
+            for k in range(0, len(part), 1000):
+                rows = [np.array([at[w] for w in words_of(t) & at.keys()], np.int64) for t in part.iloc[k : k + 1000]]
+                out.append(chain.probabilities(chain.base([np.sort(r) for r in rows])))
+            yield pd.DataFrame(np.concatenate(out), columns=new)
 
     predict = F.pandas_udf(run, ", ".join(f"{n} double" for n in new))
     scored = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), predict(F.col("text").cast("string")).alias("p"))
