@@ -217,7 +217,7 @@ _NAMES = """(VALUES ('<inn::Host as core::clone::Clone>::clone', 'jug.clone'), (
 @query(
     """SELECT * FROM (VALUES
     ('<inn::Host as core::clone::Clone>::clone', 'Host::clone', '<inn::Host as core::clone::Clone>::clone', true, true, '::clone'),
-    ('<Quill as Ink>::blot', 'Quill::blot', '<Quill as Ink>::blot', false, true, '::do_stuff'),
+    ('<Quill as Ink>::blot', 'Quill::blot', '<Quill as Ink>::blot', false, true, '::blot'),
     ('pub(crate) a::b', 'b', 'a::b', false, false, 'pub(crate) a::b'),
     ('a::b::{closure#0}', '{closure#0}', 'a::b', false, true, 'a::b::{closure#0}'),
     ('Serve for Inn<T>::run', 'run', 'Serve for Inn<T>::run', false, true, 'Serve for Inn::run'),
