@@ -230,10 +230,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed_words: int = SEED_W
     verified = copies.join(here, ["loc", "windows"]).join(there, ["src", "windows"]).where("digest = source_digest")
     places = verified.select(*place("loc"), "windows").unionByName(verified.select(*place("src"), "windows").distinct())
     found = _removals(texts, places, width)
-    changed = stage(found if with_text else found.drop("kept"), "removals").dropDuplicates(["t1", "t2"])
-    copied = stage(rows.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies")), "copied")
+    # what is known of a text, in one table: a copy group's rows meet it in a single join of two plain tables, which can be split
+    changed = (found if with_text else found.drop("kept")).dropDuplicates(["t1", "t2"])
+    copied = rows.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"))
+    known = stage(copied.join(changed, ["t1", "t2"], "left").where("copies > 1 or n_removed is not null"), "known")
     everywhere = (F.col("copies") > 1) & (F.col("n_words") >= width)
-    joined = rows.select("doc_id", "t1", "t2", "n_words", "sha").join(copied, ["t1", "t2"]).join(changed, ["t1", "t2"], "left")
+    joined = rows.select("doc_id", "t1", "t2", "n_words", "sha").join(known, ["t1", "t2"], "left")
     out = [
         F.col("doc_id"),
         F.col("n_words"),
