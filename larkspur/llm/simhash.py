@@ -168,7 +168,9 @@ def keep_components(docs: DataFrame, found: DataFrame, fp: Callable[[Column], Co
     Only the ids that go, and those on several rows, meet the texts: by broadcast up to
     ``BROADCAST_IDS``, by a shuffle join beyond; the latter's ``fp`` (of the text) is
     computed again to tell their rows apart."""
-    rows = stage(found.where("doc_id is not null").groupBy("root", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n")), "rows")
+    # staged, so that grouping doesn't keep the dealing by fp, and the join before it can split a large group of copies
+    found = stage(found.where("doc_id is not null").select("root", "doc_id", "fp"), "found")
+    rows = stage(found.groupBy("root", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n")), "rows")
     first = stage(rows.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("first")), "first")
     judged = rows.join(first, "root").select("doc_id", "fp", "n", (F.struct("doc_id", "fp") == F.col("first")).alias("stays"))
     ids = stage(judged.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("stays").alias("stays")), "ids")
