@@ -108,8 +108,9 @@ SELECT row_number() OVER (ORDER BY file, start_line, end_line, name) - 1 AS idx,
 FROM (SELECT DISTINCT ON (file, start_line, end_line, name) * FROM chunks ORDER BY file, start_line, end_line, name, idx)
 """)
 def symbols_from_rows(t: Tables) -> DataFrame:
-    raw = project(t.spark, _RAW, chunks=t.chunks())
-    made = ingest.to_chunks(ingest.first_wins(raw, ["file", "start_line", "end_line", "name"], [F.col("kind")]).select(raw.columns))
+    # told apart by the path as it is stored: ./a and a are one file
+    raw = project(t.spark, _RAW.replace("SELECT ", "SELECT idx, ", 1), chunks=t.chunks()).withColumn("file", P.normalize_path(F.col("file")))
+    made = ingest.to_chunks(ingest.first_wins(raw, ["file", "start_line", "end_line", "name"], [F.col("idx")]))
     return made.select("idx", "name", "display_name", "file", "kind", "is_test", F.size("calls").alias("n_calls"), "return_type", F.size("enum_variants").alias("n_variants"))
 
 
