@@ -136,16 +136,18 @@ def is_use_line(text: Column) -> Column:
 
 def unused_imports(lines: DataFrame) -> DataFrame:
     """(file, line_no) of single-line private use lines none of whose names the file uses elsewhere."""
-    uses = lines.where(is_use_line(F.col("text"))).select("file", "line_no", F.explode(use_idents(F.col("text"))).alias("name"))
-    words = lines.where(~F.col("text").rlike(r"^\s*(pub(\([^)]*\))?\s+)?use\s")).select("file", F.explode(F.split("text", r"[^A-Za-z0-9_]+")).alias("name")).where("name <> ''").distinct()
-    glob = uses.where(F.col("name").isin("*", "self")).select("file", "line_no")
-    used = uses.join(words, ["file", "name"], "left_semi").select("file", "line_no").unionByName(glob).distinct()
-    return uses.select("file", "line_no").distinct().join(used, ["file", "line_no"], "left_anti")
+    names = F.when(is_use_line(F.col("text")), use_idents(F.col("text")))
+    words = F.when(~F.col("text").rlike(r"^\s*(pub(\([^)]*\))?\s+)?use\s"), F.array_distinct(F.filter(F.split("text", r"[^A-Za-z0-9_]+"), lambda w: w != "")))
+    # one grouping by name instead of joins of uses and words: no side that could be broadcast
+    uses = lines.select("file", "line_no", F.explode(names).alias("name"), F.col("name").isin("*", "self").alias("used"))
+    elsewhere = lines.select("file", F.lit(None).cast("int").alias("line_no"), F.explode(words).alias("name"), F.lit(True).alias("used"))
+    met = uses.unionByName(elsewhere).groupBy("file", "name").agg(F.collect_set("line_no").alias("at"), F.max("used").alias("used"))
+    return met.select("file", F.explode("at").alias("line_no"), "used").groupBy("file", "line_no").agg(F.max("used").alias("used")).where("not used").select("file", "line_no")
 
 
 def clean_imports(lines: DataFrame) -> DataFrame:
     """``lines`` without unused imports, and runs of empty lines made one."""
-    kept = lines.join(unused_imports(lines), ["file", "line_no"], "left_anti")
+    kept = lines.join(unused_imports(lines).hint("merge"), ["file", "line_no"], "left_anti")
     order = Window.partitionBy("file").orderBy("line_no")
     single = kept.withColumn("before", F.lag("text").over(order)).where(~((F.trim("text") == "") & (F.trim("before") == "")) | F.col("before").isNull())
     return single.select("file", F.row_number().over(order).alias("line_no"), "text")

@@ -11,7 +11,7 @@ from larkspur.functions import names as N
 from larkspur.functions import paths as P
 from larkspur.operators import edits, graph, ingest, reports, resolve, similarity
 from larkspur.plans.catalogue import _SIGNED, _TEST, _signatures, _traits, query, seeds
-from larkspur.plans.staging import shared_dir, stage
+from larkspur.plans.staging import shared_dir, spread, stage
 from larkspur.sources import connectors
 from larkspur.sources.projections import Tables, project
 from larkspur.sources.store import Store
@@ -412,7 +412,7 @@ WITH l AS (SELECT 'p' || idx || '.rs' AS file, idx, unnest(CASE WHEN idx % 3 = 0
 SELECT file, count(*)::BIGINT AS lines FROM l GROUP BY 1
 """)
 def cleaned_imports(t: Tables) -> DataFrame:
-    return edits.clean_imports(edits.to_lines(project(t.spark, _FILES, chunks=t.chunks()))).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+    return edits.clean_imports(edits.to_lines(spread(project(t.spark, _FILES, chunks=t.chunks())))).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("""

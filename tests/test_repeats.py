@@ -29,3 +29,13 @@ def test_symbols_that_repeat_under_other_spellings_of_a_path_are_one(spark, tmp_
     keys = [252, 702, 1, 901, 13, 913, 14, 914, 7, 907]
     base = parts(spark, tmp_path, [(k, "ECO", "B#1", f"n{k % 450} x", 20) for k in keys])
     assert len(agrees(spark, base, "symbols_from_rows")) == 5
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_imports_are_cleaned_without_tables_in_the_driver(spark, tmp_path):
+    base = parts(spark, tmp_path, [(k, "ECO", "B#1", f"n{k} x", 20) for k in range(40)])
+    assert len(agrees(spark, base, "cleaned_imports")) == 40
+    assert "Broadcast" not in plan_of(entry.queries()["cleaned_imports"](spark, base))
