@@ -11,6 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.plans.staging import stage
+
+#: Spans that may be broadcast to the lines; more meet them by a merge join, since the sizes that
+#: Spark estimates are those of compressed files and tell little of what the driver would hold.
+BROADCAST_SPANS = 100_000
+
 # What a symbol's first line may start with, by a text search.
 SYMBOL_STARTS = ("fn {}", "pub fn {}", "pub(crate) fn {}", "struct {}", "pub struct {}", "enum {}", "pub enum {}", "trait {}", "pub trait {}", "impl {}", "const {}", "type {}")
 
@@ -93,22 +99,27 @@ def symbol_span(lines: DataFrame, name: str) -> DataFrame:
     starts = F.lit(False)
     for pattern in SYMBOL_STARTS:
         starts = starts | trimmed.startswith(pattern.format(name))
-    first = lines.where(starts).groupBy("file").agg(F.min("line_no").alias("start"))
+    first = stage(lines.where(starts).groupBy("file").agg(F.min("line_no").alias("start")), "starts")
     net = F.length(F.regexp_replace("text", r"[^{]", "")) - F.length(F.regexp_replace("text", r"[^}]", ""))
     order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    after = lines.join(first, "file").where("line_no >= start").withColumn("open", F.sum(net).over(order)).withColumn("opened", F.max(F.col("text").contains("{").cast("int")).over(order))
-    ends = after.where("open <= 0 and (opened = 1 or text like '%;%')").groupBy("file", "start").agg(F.min("line_no").alias("end"))
-    last = lines.groupBy("file").agg(F.max("line_no").alias("n"))
-    return first.join(last, "file").join(ends, ["file", "start"], "left").select("file", "start", F.coalesce("end", "n").alias("end"))
+    after = met(lines, first).where("line_no >= start").withColumn("open", F.sum(net).over(order)).withColumn("opened", F.max(F.col("text").contains("{").cast("int")).over(order))
+    ends = F.min(F.when(F.expr("open <= 0 and (opened = 1 or text like '%;%')"), F.col("line_no")))
+    # the last line after the start is the file's
+    return after.groupBy("file", "start").agg(F.coalesce(ends, F.max("line_no")).alias("end"))
+
+
+def met(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """``lines`` with the staged ``spans`` of their files, which are counted before they are broadcast."""
+    return lines.join(F.broadcast(spans) if spans.count() <= BROADCAST_SPANS else spans.hint("merge"), "file")
 
 
 def with_attributes(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """``spans`` (file, start, end) that begin with the attribute and doc lines right above them."""
     above = F.trim("text").rlike(r"^(#\[|#!\[|///|//!|@)")
-    before = lines.join(spans, "file").where("line_no < start")
-    stop = before.where(~above).groupBy("file", "start", "end").agg(F.max("line_no").alias("stop"))
-    found = spans.join(stop, ["file", "start", "end"], "left")
-    return found.select("file", F.least("start", F.coalesce("stop", F.lit(0)) + 1).alias("start"), "end")
+    spans = stage(spans.select("file", "start", "end"), "spans")
+    stops = met(lines, spans).where((F.col("line_no") < F.col("start")) & ~above).select("file", "start", "end", F.col("line_no").alias("stop"))
+    found = spans.withColumn("stop", F.lit(0)).unionByName(stops).groupBy("file", "start", "end").agg(F.max("stop").alias("stop"))
+    return found.select("file", F.least("start", F.col("stop") + 1).alias("start"), "end")
 
 
 def original_visibility(text: Column) -> Column:

@@ -401,10 +401,10 @@ FROM chunks
 
 @query("SELECT 'p' || idx || '.rs' AS file, (2 + idx % 3)::INTEGER AS start, (6 + idx % 3)::INTEGER AS \"end\", 'pub' AS visibility FROM chunks")
 def located_symbols(t: Tables) -> DataFrame:
-    lines = edits.to_lines(project(t.spark, _FILES, chunks=t.chunks()))
+    lines = edits.to_lines(spread(project(t.spark, _FILES, chunks=t.chunks())))
     bare = stage(edits.symbol_span(lines, "other"), "spans")
-    first = lines.join(bare, (lines["file"] == bare["file"]) & (lines["line_no"] == bare["start"])).select(lines["file"], edits.original_visibility(F.col("text")).alias("visibility"))
-    return edits.with_attributes(lines, bare).join(first, "file").select("file", "start", "end", "visibility")
+    first = edits.met(lines, bare).where("line_no = start").select("file", edits.original_visibility(F.col("text")).alias("visibility"))
+    return edits.with_attributes(lines, bare).hint("merge").join(first, "file").select("file", "start", "end", "visibility")
 
 
 @query("""

@@ -3,6 +3,8 @@
 import __spark_entry__ as entry
 import duckdb
 
+from larkspur.operators import edits
+
 
 def parts(spark, base, rows):
     """A part table of (key, type, brand, name, size) in ``base``."""
@@ -35,6 +37,13 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_spans_are_not_sent_to_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(edits, "BROADCAST_SPANS", 3, raising=False)
+    base = parts(spark, tmp_path, [(k, "ECO", "B#1", f"n{k} x", 20) for k in range(40)])
+    assert len(agrees(spark, base, "located_symbols")) == 40
+    assert "Broadcast" not in plan_of(entry.queries()["located_symbols"](spark, base))
+
+
 def test_imports_are_cleaned_without_tables_in_the_driver(spark, tmp_path):
     base = parts(spark, tmp_path, [(k, "ECO", "B#1", f"n{k} x", 20) for k in range(40)])
     assert len(agrees(spark, base, "cleaned_imports")) == 40
