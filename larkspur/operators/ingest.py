@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from larkspur.functions import names as N
 from larkspur.functions import paths as P
@@ -120,11 +126,41 @@ def nearest_manifest(files: DataFrame, manifests: DataFrame) -> DataFrame:
 
 
 def span_join(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Innermost span (file, start_line, end_line, name) around each point (file, line, ...)."""
-    cond = (F.col("p.file") == F.col("s.file")) & (F.col("s.start_line") <= F.col("p.line")) & (F.col("p.line") <= F.col("s.end_line"))
-    hits = points.alias("p").join(spans.alias("s"), cond)
-    order = F.struct((F.col("s.end_line") - F.col("s.start_line")).alias("n"), F.col("s.name").alias("name"))
-    return hits.groupBy(*[F.col(f"p.{c}") for c in points.columns]).agg(F.min(order).getField("name").alias("name"))
+    """Innermost span (file, start_line, end_line, name) around each point (file, line, ...).
+
+    Points and spans are never paired: each file is read once in order of lines, with the
+    spans begun so far in a heap, the innermost on top.  Spans of the same lines are one
+    before, so that copies of a symbol cost nothing there."""
+    width = F.col("end_line").cast("long") - F.col("start_line").cast("long")
+    alike = spans.where("file is not null and start_line <= end_line").groupBy("file", "start_line", width.alias("n")).agg(F.min(F.struct("name"))["name"].alias("name"))
+    point = F.struct(*points.columns)
+    opened = alike.select("file", F.col("start_line").cast("long").alias("at"), F.col("n"), "name", F.lit(None).cast(points.select(point).schema[0].dataType).alias("point"))
+    asked = points.where("file is not null and line is not null").distinct().select("file", F.col("line").cast("long").alias("at"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("name"), point.alias("point"))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, begun = None, []
+        for batch in batches:
+            found, inside = [], []
+            for own, at, n, name in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if own != file:
+                    file, begun = own, []
+                if n is not None:
+                    # a null name comes first, as in an ascending order
+                    heappush(begun, (n, name is not None, name or "", at + n))
+                    continue
+                # an ended span is in no later point: it goes once it is on top
+                while begun and begun[0][3] < at:
+                    heappop(begun)
+                inside.append(bool(begun))
+                if begun:
+                    found.append(begun[0][2] if begun[0][1] else None)
+            asked = batch.filter(pc.is_null(batch.column(2))).filter(pa.array(inside, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([asked.column(4), pa.array(found, pa.string())], ["point", "name"])
+
+    # spans that begin at a line come before its points
+    dealt = opened.unionByName(asked).repartition("file").sortWithinPartitions("file", "at", F.col("n").isNull())
+    met = dealt.mapInArrow(sweep, StructType([StructField("point", opened.schema["point"].dataType), StructField("name", StringType())]))
+    return met.select("point.*", "name")
 
 
 def attach_calls(chunks: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Queries over tables that repeat with shifted keys, as larger inputs do, against their SQL."""
 
+import random
+
 import __spark_entry__ as entry
 import duckdb
 
-from larkspur.operators import edits
+from larkspur.operators import edits, ingest
 
 
 def parts(spark, base, rows):
@@ -48,3 +50,19 @@ def test_imports_are_cleaned_without_tables_in_the_driver(spark, tmp_path):
     base = parts(spark, tmp_path, [(k, "ECO", "B#1", f"n{k} x", 20) for k in range(40)])
     assert len(agrees(spark, base, "cleaned_imports")) == 40
     assert "Broadcast" not in plan_of(entry.queries()["cleaned_imports"](spark, base))
+
+
+def test_points_and_spans_of_a_file_are_not_paired(spark):
+    rng = random.Random(3)
+    spans = [(rng.choice("ab"), a, a + rng.choice([-1, 0, 3, 40]), rng.choice(["x", "y", "é", None])) for a in rng.choices(range(60), k=150)] + [("a", None, 5, "n"), (None, 1, 9, "n")]
+    points = [(rng.choice("abc"), rng.randrange(-3, 110), i % 40) for i in range(300)] * 2 + [(None, 3, 1), ("a", None, 1)]
+    own = spark.createDataFrame(points, "file string, line int, idx long").repartition(3)
+    found = ingest.span_join(own, spark.createDataFrame(spans, "file string, start_line int, end_line int, name string"))
+    assert found.columns == ["file", "line", "idx", "name"] and "Join" not in plan_of(found)
+    want = []
+    for file, line, idx in set(points):
+        around = [(e - s, n is not None, n or "") for f, s, e, n in spans if file is not None and f == file and None not in (line, s) and s <= line <= e]
+        if around:
+            _, named, name = min(around)
+            want.append((file, line, idx, name if named else None))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
