@@ -39,7 +39,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word shingles, Jaccard 0.8) stays."""
+    """One document of each group of near duplicates stays (5-word shingles, Jaccard 0.8): pairs that
+    SimHash links, verified, and by MinHash those that it doesn't reach."""
     return neardup.keep_one(docs)
 
 

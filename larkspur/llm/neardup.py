@@ -1,4 +1,8 @@
-"""Near duplicates by the Jaccard similarity of word shingles.
+"""Near duplicates by SimHash, and by the Jaccard similarity of word shingles.
+
+SimHash: the fingerprints of ``simhash`` (3-word shingles) are all compared by its tiles;
+those that differ in 3 or fewer bits are candidates, whose sets are compared exactly.
+Near copies that differ in more bits are found beside it:
 
 1. Each text becomes its set of shingle hashes; equal sets are one (a hot group of
    copies costs one row), the others get MinHash values in bands.
@@ -6,7 +10,7 @@
 3. Per bucket, in order of id, each set is compared exactly with those before it
    that joined none: the first similar enough is its link.  Large buckets are dealt
    into chunks first, and what joins none in its chunk meets in fewer chunks.
-4. Components of the links; one id of each stays.
+4. Components of the links of both kinds; one id of each stays.
 
 All links are verified.  Of two ids left, none is similar to the other if they share
 a bucket: the smaller one would have been the other's link, or had one itself and
@@ -30,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.simhash import BROADCAST_IDS, keep_components
+from larkspur.llm.simhash import BROADCAST_IDS, fingerprint, keep_components, near_links
 from larkspur.llm.texts import text_at
 from larkspur.operators.components import connected_components
 from larkspur.plans.staging import stage
@@ -84,18 +88,19 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _signed(docs: DataFrame, seed: int, shingle: int) -> DataFrame:
-    """(doc_id, fp, bands) of every row: key of its set, keys of its bands."""
+    """(doc_id, fp, bands, mark) of every row: key of its set, keys of its bands, SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bands = [], []
+            keys, bands, marks = [], [], []
             for text in text_at(batch.column(1)):
+                marks.append(fingerprint(text))
                 found = shingle_set(text, shingle, seed)
                 keys.append(set_key(found))
                 bands.append(band_keys(found, seed))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.int64())], ["doc_id", "fp", "bands", "mark"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, fp long, bands array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, fp long, bands array<long>, mark long")
 
 
 def _sets(docs: DataFrame, seed: int, shingle: int) -> DataFrame:
@@ -150,6 +155,32 @@ def _links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         left = alone.select("bucket", "rep", "fp").join(sizes, "bucket").select("bucket", "n", "rep", "fp", chunks.alias("chunks"))
 
 
+def _simhash_links(marked: DataFrame) -> DataFrame:
+    """(src, dst): pairs of sets of the links among SimHash fingerprints, not verified yet.  Of the
+    sets of one fingerprint each is linked to the smallest, which stands for them in other links."""
+    each = marked.select("fp", "mark").distinct()
+    least = stage(each.groupBy("mark").agg(F.min("fp").alias("src"), F.count(F.lit(1)).alias("n")), "marks")
+    alike = each.join(least.where("n > 1"), "mark").select("src", F.col("fp").alias("dst"))
+    links = near_links(least.select(F.col("mark").alias("fp")))
+    for side in ("src", "dst"):
+        links = links.join(least.select(F.col("mark").alias(side), F.col("src").alias(f"set_{side}")), side)
+    near = links.select(F.col("set_src").alias("src"), F.col("set_dst").alias("dst"))
+    return alike.unionByName(near).where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``links`` (src, dst) whose sets have that similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2), batch.column(3), strict=True)
+            near = pa.array([similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), similarity) for a, b in pairs], pa.bool_())
+            yield batch.select([0, 1]).filter(near)
+
+    both = links.join(sets.select(F.col("fp").alias("src"), F.col("hashes").alias("a")), "src").join(sets.select(F.col("fp").alias("dst"), F.col("hashes").alias("b")), "dst")
+    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+
+
 def components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp, component_id, root) of every row with an id."""
     rows = docs.where("doc_id is not null")
@@ -161,7 +192,9 @@ def components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
     counted = banded.groupBy("pos", "band").agg(F.count(F.lit(1)).alias("n"), *sums).where("n > 1")
     unlike = stage(counted.groupBy("n", "sum_0", "sum_1").agg(F.min(F.struct("pos", "band")).alias("at")).select("at.pos", "at.band", "n"), "unlike")
     members = stage(banded.join(unlike, ["pos", "band"]).select(F.xxhash64("pos", "band").alias("bucket"), "n", "rep", "fp"), "buckets")
-    wanted = stage(members.select(F.col("rep").alias("doc_id"), "fp").distinct(), "wanted")
+    near = stage(_simhash_links(marked), "near")
+    compared = groups.join(near.select(F.explode(F.array("src", "dst")).alias("fp")).distinct(), "fp").select("rep", "fp")
+    wanted = stage(members.select("rep", "fp").unionByName(compared).distinct().withColumnRenamed("rep", "doc_id"), "wanted")
     few = wanted.count() <= BROADCAST_IDS
     ids, keys = wanted.select("doc_id").distinct(), wanted.select("fp").distinct()
     if few:
@@ -169,7 +202,8 @@ def components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
     # the rows of an id that repeats have several sets; rows that repeat have one
     sets = stage(_sets(rows.join(ids, "doc_id", "left_semi"), seed, shingle).join(keys, "fp", "left_semi"), "sets")
     repeats = sets.groupBy("fp").count().where("count > 1").limit(1).count()
-    found = _links(members, stage(sets.dropDuplicates(["fp"]), "distinct") if repeats else sets, similarity)
+    sets = stage(sets.dropDuplicates(["fp"]), "distinct") if repeats else sets
+    found = _verified(near, sets, similarity).unionByName(_links(members, sets, similarity))
     linked = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     placed = groups.join(linked, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
