@@ -12,7 +12,7 @@ from larkspur.functions import names as N
 from larkspur.functions import paths as P
 from larkspur.operators import edits, graph, ingest, reports, resolve, similarity
 from larkspur.operators.components import connected_components
-from larkspur.plans.staging import stage
+from larkspur.plans.staging import settled, stage
 from larkspur.sources.connectors import language_summary
 from larkspur.sources.projections import ORACLE_VIEWS, Tables, project
 
@@ -598,7 +598,7 @@ def dupe_overlap_filter(t: Tables) -> DataFrame:
 @query()
 def dupe_analysis(t: Tables) -> DataFrame:
     # a document is the text of the symbol of its number
-    pairs = stage(QUERIES["unified_dupes"](t.spark, t.sf_dir).select("a", "b"), "pairs")
+    pairs = settled(lambda: QUERIES["unified_dupes"](t.spark, t.sf_dir).select("a", "b"), "pairs")
     return similarity.analyze_pairs(pairs, t.edges(), t.chunks())
 
 

@@ -13,10 +13,15 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths staged since :func:`settled` began, in this thread.
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
@@ -43,10 +48,28 @@ def stage_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """As :func:`stage`, with the path, for callers that drop it later."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur-{tag}-{uuid.uuid4().hex}"
+    if (staged := _STAGED.get()) is not None:
+        staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """Stage what ``make`` returns and delete the tables that it staged on the way."""
+    staged: list[str] = []
+    before = _STAGED.set(staged)
+    try:
+        df = make()
+    finally:
+        _STAGED.reset(before)
+    found = stage(df, tag)
+    for path in staged:
+        drop_staged(found.sparkSession, path)
+    del df
+    release(found.sparkSession)
+    return found
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, where its files make fewer tasks than there are: for small inputs of much work a row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
