@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.texts import give_back, trimmed
 from larkspur.llm.tokens import BLOCK_CHARS, CACHE_WORDS, default_path, word_ids
 from larkspur.plans.staging import stage
 
@@ -88,9 +89,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
                 end = max(at + 1, int(np.searchsorted(bytes_to, read + block_chars, side="right")))
                 yield _cut(doc_ids[at:end], encoder.block(texts.slice(at, end - at)), capacity)
                 at = end
-                pa.default_memory_pool().release_unused()
+                give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), _PIECE)
 
 
 def _round(items: DataFrame, partitions: int, capacity: int, slack: int) -> DataFrame:
@@ -111,7 +112,7 @@ def _round(items: DataFrame, partitions: int, capacity: int, slack: int) -> Data
         merged = pa.ListArray.from_arrays(pa.array(np.append(offsets[first], offsets[-1]), pa.int32()), members.flatten())
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array(total >= capacity - slack), merged], ["fill", "done", "members"])
 
-    return items.select("fill", "members").repartition(partitions).mapInArrow(run, f"fill long, done boolean, members array<struct<{_PIECE.replace(' ', ':').replace(',:', ',')}>>")
+    return items.select("fill", "members").repartition(partitions).mapInArrow(trimmed(run), f"fill long, done boolean, members array<struct<{_PIECE.replace(' ', ':').replace(',:', ',')}>>")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, items: int = ITEMS) -> DataFrame:
@@ -154,7 +155,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, items:
             begin = np.repeat(run[np.cumsum(sizes) - sizes], sizes) if len(run) else run
             yield pa.RecordBatch.from_arrays([*flat.flatten(), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)), pa.array(run - begin, pa.int64())], [c.split()[0] for c in _PIECE.split(", ")] + ["sequence_id", "offset"])
 
-    return every.mapInArrow(place, f"{_PIECE}, sequence_id long, offset long")
+    return every.mapInArrow(trimmed(place), f"{_PIECE}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from larkspur.llm.texts import text_at
+from larkspur.llm.texts import text_at, trimmed
 from larkspur.operators.components import connected_components
 from larkspur.plans.staging import stage
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, shingle, seed) for t in texts], pa.int64())], ["doc_id", "fp"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    return picked.mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def link_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
@@ -134,7 +134,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
                     src, dst = zip(*forest, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    return pairs.mapInArrow(run, "src long, dst long")
+    return pairs.mapInArrow(trimmed(run), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE) -> DataFrame:

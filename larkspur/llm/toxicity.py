@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.texts import give_back, trimmed
 from larkspur.plans.staging import stage
 
 #: The sample, the words kept in all, the least documents of a kept word, folds and the penalty.
@@ -159,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, chain: dict[str, Column] | None =
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), *batch.columns[1:]], ["words", *batch.schema.names[1:]])
 
     kinds = ", ".join(f"{n} int" for n in names)
-    worded = stage(sample.select("text", "h", *names).mapInArrow(distinct_words, f"words array<string>, h long, {kinds}"), "words")
+    worded = stage(sample.select("text", "h", *names).mapInArrow(trimmed(distinct_words), f"words array<string>, h long, {kinds}"), "words")
     tallies = [F.count(n).alias(f"n_{n}") for n in names] + [F.sum(n).alias(f"s_{n}") for n in names]
     whole = worded.agg(*tallies).first()
     if not any(whole[f"n_{n}"] for n in names):
@@ -202,6 +203,7 @@ def score(docs: DataFrame, chain: Chain | None, decisive: str = "toxic", thresho
                 rows = [np.array([at[w] for w in words_of(t) & at.keys()], np.int64) for t in part.iloc[k : k + 1000]]
                 out.append(chain.probabilities(chain.base([np.sort(r) for r in rows])))
             yield pd.DataFrame(np.concatenate(out), columns=new)
+        give_back()
 
     predict = F.pandas_udf(run, ", ".join(f"{n} double" for n in new))
     scored = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), predict(F.col("text").cast("string")).alias("p"))
