@@ -51,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens with their place in the sequences."""
-    return packing.pack_documents(docs, cache_words=PACKING_CACHE_WORDS, block_chars=PACKING_BLOCK_CHARS)
+    return packing.pack_documents(docs, cache_words=PACKING_CACHE_WORDS, block_chars=PACKING_BLOCK_CHARS, lean=True)
 
 
 STAGES = [

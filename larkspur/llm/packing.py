@@ -74,12 +74,13 @@ def _cut(doc_ids: list[int | None], ids: Iterable[np.ndarray], capacity: int) ->
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
+def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS, block_chars: int = BLOCK_CHARS, lean: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every row; ``lean`` gives all freed memory
+    back after each block and task, which costs time."""
     path = tokenizer_path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(path, cache_words)
+        encoder, after = word_ids(path, cache_words), give_back if lean else pa.default_memory_pool().release_unused
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("")
             bytes_to = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
@@ -89,9 +90,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
                 end = max(at + 1, int(np.searchsorted(bytes_to, read + block_chars, side="right")))
                 yield _cut(doc_ids[at:end], encoder.block(texts.slice(at, end - at)), capacity)
                 at = end
-                give_back()
+                after()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), _PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run) if lean else run, _PIECE)
 
 
 def _round(items: DataFrame, partitions: int, capacity: int, slack: int) -> DataFrame:
@@ -158,6 +159,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, items:
     return every.mapInArrow(trimmed(place), f"{_PIECE}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS, block_chars: int = BLOCK_CHARS, lean: bool = False) -> DataFrame:
     """Pieces of ``docs`` with their place in the sequences."""
-    return pack(stage(token_pieces(docs, tokenizer_path, capacity, cache_words, block_chars), "pieces"), capacity)
+    return pack(stage(token_pieces(docs, tokenizer_path, capacity, cache_words, block_chars, lean), "pieces"), capacity)
